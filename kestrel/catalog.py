@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from kestrel.operators.spatial import near_places
+from kestrel.operators.timestamps import utc_instants
+from kestrel.session import table
+
+
+def p3_found(spark, d):
+    return utc_instants(table(spark, d, "dates"), table(spark, d, "files", "id", "root_id", "mtime"), table(spark, d, "root_zones"))
+
+
+def p5_found(spark, d):
+    return near_places(table(spark, d, "place_clusters"))
+
+
+QUERIES: dict = {"p3_found": p3_found, "p5_found": p5_found}
+SQL: dict = {
+    "p5_found": """
+WITH p AS (SELECT DISTINCT id, lat, lon FROM place_clusters WHERE member_count > 0 AND lat BETWEEN -90 AND 90 AND lon BETWEEN -360 AND 360 AND NOT (lat = 0 AND lon = 0))
+SELECT a.id AS place_a, b.id AS place_b FROM p a JOIN p b ON a.id < b.id
+WHERE 2 * 6371000 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 300""",
+}
