@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.llm.components import linked_faces
+from kestrel.llm.leakage import leaked
+from kestrel.llm.lookalike import same_look
 from kestrel.llm.survivor import survivors
+from kestrel.llm.tokens import encode_corpus
 from kestrel.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +24,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(table(spark, d, "files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_found, p7_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_look(table(spark, d, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_found, p7_found, p8_ids, p9_found, p10_found)}
 
 _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, x -> isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0"
 
