@@ -5,17 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kestrel.llm.components import linked_faces
 from kestrel.llm.leakage import leaked
 from kestrel.llm.lookalike import same_look
 from kestrel.llm.survivor import survivors
 from kestrel.llm.tokens import encode_corpus
+from kestrel.llm.vectors import considered, describe, near_pairs, tight_clusters
 from kestrel.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    out = [
+        near_pairs(table(spark, d, name, "id", "embedding"), width).select(F.lit(kind).alias("kind"), "id_a", "id_b")
+        for kind, name, width in (("face", "faces", 128), ("animal", "animal_detections", 96))
+    ]
+    return out[0].unionByName(out[1])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    faces = considered(table(spark, d, "faces", "id", "embedding", "quality_tier", "not_person"))
+    return tight_clusters(faces.select("id", "embedding"), 128).select(F.col("id").alias("face_id"), "cluster_id")
+
+
+def p2_people(spark: SparkSession, d: str) -> DataFrame:
+    """Each person with its number of faces and most typical faces."""
+    faces = considered(table(spark, d, "faces", "id", "embedding", "quality_tier", "not_person")).select("id", "embedding")
+    return describe(tight_clusters(faces, 128), faces, 128)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_faces(table(spark, d, "face_links"), table(spark, d, "faces", "id"))
 
@@ -36,11 +57,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_found, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 
-_USABLE = "len(embedding) = 128 AND len(list_filter(embedding, x -> isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0"
+_USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
 SQL: dict[str, str] = {
+    "p2_found": f"""
+WITH f AS (SELECT DISTINCT id, embedding FROM faces WHERE not_person = 0
+           AND (quality_tier IS NULL OR upper(regexp_replace(trim(quality_tier), '[ _-]+', '_', 'g')) <> 'LOW_QUALITY') AND {_USABLE}),
+n AS (SELECT a.id AS id, list_sort(list(b.id)) AS around FROM f a JOIN f b ON list_cosine_similarity(a.embedding, b.embedding) >= 0.75 GROUP BY a.id)
+SELECT unnest(ids) AS face_id, around[1] AS cluster_id FROM (SELECT around, list(id) AS ids FROM n GROUP BY around HAVING count(*) = len(around) AND count(*) >= 3)""",
     "p6_found": """
 WITH RECURSIVE latest AS (
   SELECT least(face_a, face_b) AS a, greatest(face_a, face_b) AS b,
