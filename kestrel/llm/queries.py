@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kestrel.llm.components import linked_faces
 from kestrel.llm.leakage import leaked
 from kestrel.llm.lookalike import same_look
+from kestrel.llm.pages import clean_pages, scan_faults
 from kestrel.llm.survivor import survivors
 from kestrel.llm.tokens import encode_corpus
 from kestrel.llm.vectors import considered, describe, near_pairs, tight_clusters
@@ -37,6 +38,15 @@ def p2_people(spark: SparkSession, d: str) -> DataFrame:
     return describe(tight_clusters(faces, 128), faces, 128)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_faults(table(spark, d, "doc_chunk_fts"), table(spark, d, "doc_text"), table(spark, d, "documents", "text"))
+
+
+def p4_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned chunks as clean paragraphs."""
+    return clean_pages(table(spark, d, "doc_chunk_fts"), table(spark, d, "doc_text"), table(spark, d, "documents", "text"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_faces(table(spark, d, "face_links"), table(spark, d, "faces", "id"))
 
@@ -57,7 +67,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p4_found, p4_pages, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 
 _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
