@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.clean import label
-from kestrel.session import cut, partitions
+from kestrel.operators.graph import contract
+from kestrel.session import cut
 
 #: Most edges that one task merges; 16 bytes each, about five times that while it runs.
 EDGES_PER_TASK = 4_000_000
@@ -89,27 +90,10 @@ def components(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
         merged = cut(stars.coalesce(fewer).mapInArrow(_forests, "a long, b long"))
         m = merged.count()
         if fewer >= parts or m > 0.9 * n:
-            return _with_loops(_contract(merged), loops)
+            return _with_loops(contract(merged), loops)
         stars, n = merged, m
 
 
-def _contract(edges: DataFrame) -> DataFrame:
-    """Alternating large-star and small-star until every node points to its component's smallest node."""
-    last = None
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut(small)
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            return edges
-        last = state
-
-
 def _with_loops(stars: DataFrame, loops: DataFrame) -> DataFrame:
     named = stars.select(F.col("a").alias("node"), F.col("b").alias("group_id"))
     named = named.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("group_id")).distinct())
