@@ -72,10 +72,9 @@ _TWO, _END = "([0-9]{2})", "(?![0-9])"
 
 
 def _moment(y, mo, d, h=None, mi=None, s=None) -> Column:
-    """A real calendar moment of the years 1990 to 2035, else NULL."""
-    part = lambda c: F.expr("0").cast("int") if c is None else c.try_cast("int")
-    t = F.call_function("try_make_timestamp_ntz", part(y), part(mo), part(d), part(h), part(mi), part(s).cast("decimal(16,6)"))
-    return F.when(F.year(t).between(1990, 2035), t)
+    """A calendar moment, NULL where there is no such."""
+    part = lambda c: F.lit(0) if c is None else c.try_cast("int")
+    return F.call_function("try_make_timestamp_ntz", part(y), part(mo), part(d), part(h), part(mi), part(s).cast("decimal(16,6)"))
 
 
 def _millis(n: Column) -> Column:
@@ -97,19 +96,24 @@ def filename_date(name: Column, day_first: bool = True) -> Column:
     def got(rx: str, n: int, of: Column = low) -> list[Column]:
         return [F.nullif(F.regexp_extract(of, rx, k + 1), F.lit("")) for k in range(n)]
 
-    tries: list[tuple[Column, Column | float]] = []
+    tries: list[Column] = []
+
+    def take(t: Column, confidence: Column | float) -> None:
+        c = confidence if isinstance(confidence, Column) else F.lit(confidence)
+        tries.append(F.struct(t.alias("at"), c.cast("double").alias("confidence")))
 
     def add(rx: str, n: int, confidence: float, rescue: bool = False) -> None:
         g = got(rx, n)
-        t = _moment(*g)
-        tries.append((F.coalesce(t, _moment(g[0], g[2], g[1], *g[3:])) if rescue else t, confidence))
+        take(_moment(*g), confidence)
+        if rescue:
+            take(_moment(g[0], g[2], g[1], *g[3:]), confidence)
 
     def two(rx: str, n: int, base: float) -> None:
         a, b, y, *clock = got(rx, n)
         x, z = a.try_cast("int"), b.try_cast("int")
-        first = F.when(x > 12, F.lit(True)).when(z > 12, F.lit(False)).otherwise(F.lit(day_first))
-        t = F.when((x > 12) & (z > 12), None).otherwise(_moment(y, F.when(first, b).otherwise(a), F.when(first, a).otherwise(b), *clock))
-        tries.append((t, F.when((x <= 12) & (z <= 12), base - 0.1).otherwise(base)))
+        day = F.when(x > 12, a).when(z > 12, b).otherwise(a if day_first else b)
+        month = F.when(x > 12, b).when(z > 12, a).otherwise(b if day_first else a)
+        take(_moment(y, month, day, *clock), F.when((x <= 12) & (z <= 12), base - 0.1).otherwise(base))
 
     date = rf"{_YEAR}[-.]{_TWO}[-.]{_TWO}"
     add(rf"{date}\s+at\s+{_TWO}[.:]{_TWO}[.:]{_TWO}", 6, 0.9)
@@ -121,13 +125,14 @@ def filename_date(name: Column, day_first: bool = True) -> Column:
     add(rf"{_YEAR}{_TWO}{_TWO}[-_]{_TWO}{_TWO}{_END}", 5, 0.65)
     two(rf"(?<![0-9])([0-9]{{1,2}})[-_.]([0-9]{{1,2}})[-_.](20[0-9]{{2}}|19[0-9]{{2}})[_-]{_TWO}[-_.:]{_TWO}{_END}", 5, 0.65)
     add(rf"{_YEAR}{_TWO}{_TWO}-wa[0-9]+", 3, 0.6)
-    tries.append((_millis(got(r"(?:fb_img|faceapp|picture|signal|pano|img|vid)[ _-]?(1[0-9]{12})(?![0-9])", 1)[0]), 0.6))
+    take(_millis(got(r"(?:fb_img|faceapp|picture|signal|pano|img|vid)[ _-]?(1[0-9]{12})(?![0-9])", 1)[0]), 0.6)
     add(rf"{_YEAR}[-_.]{_TWO}[-_.]{_TWO}{_END}", 3, 0.55, rescue=True)
     two(rf"(?<![0-9])([0-9]{{1,2}})[-_.]([0-9]{{1,2}})[-_.](20[0-9]{{2}}|19[0-9]{{2}}){_END}", 3, 0.55)
-    tries.append((_millis(got(r"(?<![0-9])(1[0-9]{12})(?![0-9])", 1)[0]), 0.4))
+    take(_millis(got(r"(?<![0-9])(1[0-9]{12})(?![0-9])", 1)[0]), 0.4)
     add(rf"{_YEAR}{_TWO}{_TWO}{_END}", 3, 0.4)
-    one = lambda t, c: F.when(t.isNotNull(), F.struct(t.alias("at"), (c if isinstance(c, Column) else F.lit(c)).cast("double").alias("confidence")))
-    return F.coalesce(*[one(t, c) for t, c in tries])
+    # An array keeps the generated code small; its first real moment of the years 1990 to 2035 is the answer.
+    real = F.filter(F.array(*tries), lambda x: F.year(x["at"]).between(1990, 2035))
+    return F.get(real, F.lit(0))
 
 
 def sidecar_names(name: Column) -> Column:

@@ -152,7 +152,7 @@ def near_pairs(points: DataFrame, radius_m: float, sample: int = SAMPLE, leaf_sa
     blocks = {r["leaf"]: -(-r["n"] // block) for r in counts.where(F.col("n") > block).collect()}  # at most one row a leaf
     rows = p.mapInArrow(_assign(leaves, radius_m, blocks), "leaf long, i long, j long, id long, lat double, lon double, home boolean, own long")
 
-    def pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = key[1], key[2]
         lat, lon, ids, home, own = (pdf[c].to_numpy() for c in ("lat", "lon", "id", "home", "own"))
         left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
