@@ -160,11 +160,18 @@ def near_pairs(points: DataFrame, radius_m: float, sample: int = SAMPLE, leaf_sa
         mid = (box[1] + box[3]) / 2
         x = np.where(lon - mid > 180, lon - 360, np.where(lon - mid < -180, lon + 360, lon))
         tree = Tree(lat[right], x[right])
+        west, east = (x[right].min(), x[right].max()) if len(right) else (0.0, 0.0)
         out = []
         for s in range(0, len(left), 4096):
             q = left[s:s + 4096]
             dlat, dlon = search_boxes(lat[q], lon[q], radius_m)
-            k, m = tree.probe(lat[q] - dlat, x[q] - dlon, lat[q] + dlat, x[q] + dlon)
+            found = []
+            for turn in (0.0, 360.0, -360.0):  # the leaf may reach round the earth
+                some = np.nonzero((x[q] - dlon + turn <= east) & (x[q] + dlon + turn >= west) & ((turn == 0) | (dlon < 360)))[0]
+                k, m = tree.probe(lat[q][some] - dlat[some], x[q][some] - dlon[some] + turn, lat[q][some] + dlat[some], x[q][some] + dlon[some] + turn)
+                found.append(some[k] * len(right) + m)
+            both = found[0] if not len(found[1]) + len(found[2]) else np.unique(np.concatenate(found))
+            k, m = both // max(1, len(right)), both % max(1, len(right))
             a, b = q[k], right[m]
             keep = ids[a] < ids[b] if i == j else ids[a] != ids[b]
             a, b = a[keep], b[keep]
