@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.session import partitions
+
 EARTH_M = 6_371_000.0
 #: Points in the sample the quadtree is grown from, points of the sample in a leaf, rows of a block of a heavy leaf.
 SAMPLE, LEAF_SAMPLE, BLOCK = 50_000, 64, 20_000
@@ -182,7 +184,8 @@ def near_pairs(points: DataFrame, radius_m: float, sample: int = SAMPLE, leaf_sa
         r = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": r[:, 0], "b": r[:, 1]})
 
-    return rows.groupBy("leaf", "i", "j").applyInPandas(pairs, schema)
+    tasks = max(partitions(spark), -(-n // block))  # named, so that few bytes of many points stay spread
+    return rows.repartition(tasks, "leaf", "i", "j").groupBy("leaf", "i", "j").applyInPandas(pairs, schema)
 
 
 def near_places(places: DataFrame, radius_m: float = 300.0) -> DataFrame:
