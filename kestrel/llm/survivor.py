@@ -31,11 +31,12 @@ def fuse(votes: DataFrame, rounds: int = 3) -> DataFrame:
     (1) weighs a source's vote by ``ln(n A / (1 - A))``, discounted by the chance that it was copied from a
     source of the same claim that comes first (higher accuracy, then smaller name), (2) turns the weights of an
     item's values into posteriors, (3) re-estimates accuracies as mean posteriors, and (4) re-estimates the
-    dependence of two sources from the false values they share against the claims where they differ.
-    Sharing false values is rare among independent sources, so a few raise the dependence sharply.
+    dependence of two sources from the disputed items that both speak of: differing claims speak against it, shared
+    true ones a little for it and shared false ones, rare among independent sources, strongly. Before the first round
+    all shared claims pass for true.
 
-    Work: pairs of sources are formed only inside one claim of a disputed item, after claims are distinct by
-    source, so their number is bounded by sources, never by copies.
+    Work: pairs of sources are formed only inside a disputed item, after claims are distinct by source, so their
+    number is bounded by sources, never by copies.
     """
     plain, resolved = _fuse(votes, rounds)
     return plain.unionByName(resolved)
@@ -48,10 +49,14 @@ def _fuse(votes: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     marked = v.join(many, "item")
     disputed = cut(marked.where("lo < hi").select("item", "source", "value"))
     agreed = cut(marked.where("lo = hi").groupBy("source").agg(F.count("*").alias("agreed")))
+    if disputed.isEmpty():
+        return plain, plain.where("false")
     acc = disputed.select("source").distinct().withColumn("a", F.lit(ACCURACY))
-    a2 = disputed.alias("x").join(disputed.alias("y"), F.expr("x.item = y.item AND x.value = y.value AND x.source < y.source"))
-    same = a2.select(F.col("x.item").alias("item"), F.col("x.value").alias("value"), F.col("x.source").alias("s"), F.col("y.source").alias("t"))
-    dep = same.select("s", "t").distinct().withColumn("d", F.lit(0.0))
+    both = disputed.alias("x").join(disputed.alias("y"), F.expr("x.item = y.item AND x.source < y.source"))
+    both = both.select(F.col("x.item").alias("item"), F.col("x.value").alias("value"), F.col("x.source").alias("s"), F.col("y.source").alias("t"), (F.col("x.value") == F.col("y.value")).alias("same"))
+    same = both.where("same").drop("same")
+    differ = both.groupBy("s", "t").agg(F.count_if(~F.col("same")).alias("kd"))
+    dep = cut(_dependence(same.withColumn("probability", F.lit(1.0)), differ, acc))
     post = None
     for r in range(max(1, rounds)):
         w = F.log(F.lit(FALSE_VALUES) * F.least(F.col("a"), F.lit(0.99)) / (1 - F.least(F.greatest(F.col("a"), F.lit(0.05)), F.lit(0.99))))
@@ -65,6 +70,7 @@ def _fuse(votes: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
         per = Window.partitionBy("item")
         e = F.exp(F.col("score") - F.max("score").over(per))
         post = score.withColumn("e", e).withColumn("probability", F.col("e") / F.sum("e").over(per)).select("item", "value", "probability")
+        post = cut(post)  # a round is read several times by the next
         if r + 1 == max(1, rounds):
             break
         held = disputed.join(post, ["item", "value"])
@@ -72,14 +78,24 @@ def _fuse(votes: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
             held.groupBy("source").agg(F.sum("probability").alias("p"), F.count("*").alias("n"))
             .join(agreed, "source", "left").select("source", ((F.coalesce("p", F.lit(0.0)) + F.coalesce("agreed", F.lit(0)) + ACCURACY) / (F.coalesce("n", F.lit(0)) + F.coalesce("agreed", F.lit(0)) + 1)).alias("a"))
         )
-        shared = same.join(post, ["item", "value"]).groupBy("s", "t").agg(F.sum(F.when(F.col("probability") < 0.5, 1).otherwise(0)).alias("kf"), F.sum(F.when(F.col("probability") >= 0.5, 1).otherwise(0)).alias("kt"))
-        # log odds of dependence: a shared false value has chance (1-A)^2/n apart, about (1-A)c more when copied.
-        odds = F.lit(DEPENDENT / (1 - DEPENDENT)) * F.exp(F.least(F.lit(50.0), F.col("kf") * F.log(F.lit(COPY_RATE * FALSE_VALUES / (1 - ACCURACY) + (1 - COPY_RATE))) + F.col("kt") * F.log(F.lit(COPY_RATE / ACCURACY + (1 - COPY_RATE))) * 0.1))
-        dep = shared.select("s", "t", (odds / (1 + odds)).alias("d"))
+        acc = cut(acc)
+        dep = cut(_dependence(same.join(post, ["item", "value"]), differ, acc))
     best = post.groupBy("item").agg(F.max_by("value", F.struct("probability", (-F.col("value")).alias("n"))).alias("value"), F.max("probability").alias("probability"))
     return plain, best
 
 
+def _dependence(shared: DataFrame, differ: DataFrame, acc: DataFrame) -> DataFrame:
+    """``(s, t, d)``: chance that two sources depend on each other, by the odds of what they share and where they differ."""
+    p = F.col("probability")
+    k = shared.groupBy("s", "t").agg(F.sum(p).alias("kt"), F.sum(1 - p).alias("kf"))
+    j = k.join(differ, ["s", "t"]).join(acc.select(F.col("source").alias("s"), F.col("a").alias("u")), "s").join(acc.select(F.col("source").alias("t"), F.col("a").alias("v")), "t")
+    clip = lambda c: F.least(F.greatest(c, F.lit(0.05)), F.lit(0.99))
+    right, wrong = clip(F.col("u")) * clip(F.col("v")), 1 - clip((F.col("u") + F.col("v")) / 2)
+    gain = F.col("kt") * F.log(COPY_RATE / right + (1 - COPY_RATE)) + F.col("kf") * F.log(COPY_RATE * FALSE_VALUES / wrong + (1 - COPY_RATE)) + F.col("kd") * F.log(F.lit(1 - COPY_RATE))
+    odds = F.lit(DEPENDENT / (1 - DEPENDENT)) * F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), gain)))
+    return j.select("s", "t", (odds / (1 + odds)).alias("d"))
+
+
 def survivors(files: DataFrame, rounds: int = 3) -> DataFrame:
     """``(sha256, file_id, size)`` for every content that two or more present records hold.
 
