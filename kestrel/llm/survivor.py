@@ -46,11 +46,11 @@ def _fuse(votes: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     v = votes.where("item IS NOT NULL AND value IS NOT NULL").select("item", F.coalesce(F.col("source").cast("string"), F.lit("?")).alias("source"), "value").distinct()
     many = v.groupBy("item").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     plain = many.where("lo = hi").select("item", F.col("lo").alias("value"), F.lit(1.0).alias("probability"))
-    marked = v.join(many, "item")
-    disputed = cut(marked.where("lo < hi").select("item", "source", "value"))
-    agreed = cut(marked.where("lo = hi").groupBy("source").agg(F.count("*").alias("agreed")))
-    if disputed.isEmpty():
+    open_ = cut(many.where("lo < hi").select("item"))
+    if open_.isEmpty():
         return plain, plain.where("false")
+    disputed = cut(v.join(open_, "item", "left_semi"))
+    agreed = cut(v.join(open_, "item", "left_anti").groupBy("source").agg(F.count("*").alias("agreed")))
     acc = disputed.select("source").distinct().withColumn("a", F.lit(ACCURACY))
     both = disputed.alias("x").join(disputed.alias("y"), F.expr("x.item = y.item AND x.source < y.source"))
     both = both.select(F.col("x.item").alias("item"), F.col("x.value").alias("value"), F.col("x.source").alias("s"), F.col("y.source").alias("t"), (F.col("x.value") == F.col("y.value")).alias("same"))
