@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from kestrel.functions.clean import epoch_micros
 from kestrel.functions.numbers import cell, iou
 from kestrel.functions.paths import basename, extension, filename_date, media_type
-from kestrel.operators import browse, clusters, dups, entities, search
+from kestrel.operators import browse, clusters, details, dups, entities, search
 from kestrel.operators.spatial import near_places
 from kestrel.operators.timestamps import utc_instants
 from kestrel.plans import snapshots
@@ -489,3 +489,50 @@ SELECT regexp_replace(regexp_replace(regexp_extract(rel_path, '[^/\\]*$'), '[A-Z
 def filename_shapes(spark, d):
     shape = F.regexp_replace(F.regexp_replace(basename(F.col("rel_path")), "[A-Za-z]", "x"), "[0-9]", "D")
     return _files(spark, d, "id", "rel_path").groupBy(shape.alias("shape")).agg(F.count("*").alias("files"), F.min("rel_path").alias("example"))
+
+
+# --- Records, cards and diagnostics ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {_F}, g AS (SELECT root_id, count(*) AS files, coalesce(sum(greatest(size, 0)), 0)::bigint AS bytes, max(last_seen) AS last_seen FROM f WHERE present = 1 GROUP BY 1),
+c AS (SELECT root_id, list(id ORDER BY r) AS covers FROM (SELECT root_id, id, row_number() OVER (PARTITION BY root_id ORDER BY first_seen DESC NULLS LAST, id DESC) AS r FROM f WHERE present = 1 AND hidden = 0 AND media_type = 'image') WHERE r <= 5 GROUP BY 1)
+SELECT * FROM g LEFT JOIN c USING (root_id)""")
+def archive_cards(spark, d):
+    return details.archive_cards(_files(spark, d, "id", "root_id", "size", "last_seen", "first_seen", "present", "hidden", "media_type"))
+
+
+@query(f"""WITH {_F} SELECT id, id IN (SELECT file_id FROM dates WHERE file_id IS NOT NULL) AS dated, id IN (SELECT file_id FROM faces WHERE file_id IS NOT NULL) AS faces,
+id IN (SELECT file_id FROM animal_detections WHERE file_id IS NOT NULL) AS animals, id IN (SELECT file_id FROM doc_text WHERE file_id IS NOT NULL) AS read FROM f""")
+def coverage_flags(spark, d):
+    t = lambda n: table(spark, d, n, "file_id")
+    return details.coverage_flags(_files(spark, d, "id"), dated=t("dates"), faces=t("faces"), animals=t("animal_detections"), read=t("doc_text"))
+
+
+@query(f"""WITH {_RANKED}, a AS (SELECT file_id, count(DISTINCT id) AS n FROM faces GROUP BY 1), b AS (SELECT file_id, count(DISTINCT id) AS n FROM animal_detections GROUP BY 1)
+SELECT f.id, d.best_datetime, coalesce(a.n, 0)::bigint AS faces, coalesce(b.n, 0)::bigint AS animals, r.group_id, r.canonical_id
+FROM f LEFT JOIN d ON d.file_id = f.id LEFT JOIN a ON a.file_id = f.id LEFT JOIN b ON b.file_id = f.id LEFT JOIN r ON r.id = f.id""")
+def item_details(spark, d):
+    box = ["id", "file_id", "box_x", "box_y", "box_w", "box_h", "det_score"]
+    i = details.item(_files(spark, d, "id"), _dates(spark, d), _rec(spark, d, "faces", *box), _rec(spark, d, "animal_detections", *box), _ranked(spark, d))
+    return i.select("id", "date.best_datetime", F.size("faces").cast("long").alias("faces"), F.size("animals").cast("long").alias("animals"), "group_id", "canonical_id")
+
+
+@query("""WITH p AS (SELECT unnest([1, 5, 25, 50, 75, 95, 99, 99.9]::double[]) AS percent), v AS (SELECT list(l_extendedprice ORDER BY l_extendedprice) AS l FROM lineitem)
+SELECT percent, round(l[floor(percent / 100 * (len(l) - 1))::bigint + 1] + (percent / 100 * (len(l) - 1) - floor(percent / 100 * (len(l) - 1))) * (l[least(len(l), floor(percent / 100 * (len(l) - 1))::bigint + 2)] - l[floor(percent / 100 * (len(l) - 1))::bigint + 1]), 4) AS value FROM p, v""")
+def price_percentiles(spark, d):
+    return details.percentiles(table(spark, d, "lineitem", "l_extendedprice"), "l_extendedprice").withColumn("value", F.round("value", 4))
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS query, o_totalprice / 1000 AS score FROM orders), b AS (SELECT query, max(score) AS best FROM s GROUP BY 1),
+g AS (SELECT * FROM (VALUES (0.0, 0.5), (0.0, 0.9), (200.0, 0.5), (200.0, 0.9)) t(floor, ratio)),
+n AS (SELECT floor, ratio, b.query, count_if(score >= floor AND score >= ratio * best) AS n FROM b CROSS JOIN g JOIN s ON s.query = b.query GROUP BY ALL)
+SELECT floor::double AS floor, ratio::double AS ratio, median(n)::double AS kept FROM n GROUP BY ALL""")
+def relevance_sweep(spark, d):
+    s = table(spark, d, "orders", "o_orderpriority", "o_totalprice").select(F.col("o_orderpriority").alias("query"), (F.col("o_totalprice") / 1000).alias("score"))
+    return details.sweep(s, [0.0, 200.0], [0.5, 0.9])
+
+
+@query(f"WITH {_F}, {_D} SELECT (SELECT count(*) FROM f WHERE present = 1) AS total, (SELECT count(*) FROM f WHERE present = 1 AND id IN (SELECT file_id FROM d)) AS done")
+def enrich_progress(spark, d):
+    f = browse.visible(_files(spark, d, "id", "present"))
+    return details.progress(f, snapshots.undated(f, _dates(spark, d)))
