@@ -34,7 +34,7 @@ ABBREVIATIONS = {
 }
 _DAY = 86_400
 _PLAIN = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
-_SIGNS = str.maketrans({**{c: "-" for c in "−‐‑–"}, **{c: " " for c in "     　"}, **{c: "" for c in "​‎‏﻿"}})
+_SIGNS = str.maketrans({**{chr(c): "-" for c in (0x2010, 0x2011, 0x2013, 0x2212)}, **{chr(c): " " for c in (0xA0, 0x2002, 0x2007, 0x2009, 0x202F, 0x3000)}, **{chr(c): "" for c in (0x200B, 0x200E, 0x200F, 0xFEFF)}})
 _ZONE = r"(?: ?(?:(?P<zs>[+-])(?P<zh>99):?(?P<zm>99)?|(?P<za>a{1,4}))(?:\[(?P<zn>[a9/_+-]+)\])?| (?P<zr>a+(?:[/_-]a+)+))?"
 _CLOCK = r"(?P<h>99?)[:.](?P<mi>99)(?:[:.](?P<s>99)(?:[.,](?P<f>9{1,9}))?)?(?: ?(?P<ap>aa)(?![a]))?"
 _DATES = (
@@ -149,7 +149,7 @@ def _lookup(texts: list[str], span, table: dict[str, int], keep: int | None = No
 
 
 def instants(texts: list[str | None], own_utc: np.ndarray, zones: list[str | None]) -> np.ndarray:
-    """Milliseconds since 1970 of each text, NaN-free as (values, valid) in one float-less pass; -1 << 62 is "no case".
+    """Milliseconds since 1970 of each text as whole numbers; -1 << 62 where it denotes no instant.
 
     ``own_utc`` marks texts whose zoneless clock times are UTC, ``zones`` names the zone of the others.
     """
@@ -263,7 +263,7 @@ def utc_instants(dates: DataFrame, files: DataFrame, roots: DataFrame) -> DataFr
     source = F.lower(F.trim("d.date_source"))
     j = d.join(f, "file_id", "left").select("file_id", F.col("d.best_datetime").alias("text"), F.coalesce(source, F.lit("")).alias("source"), F.col("f.root_id").alias("root_id"), F.col("f.mtime").alias("mtime"))
     j = j.join(z, "root_id", "left")
-    blank = F.col("text").isNull() | (F.regexp_replace("text", r"[\s  -​ 　﻿]+", "") == "")
+    blank = F.col("text").isNull() | (F.regexp_replace("text", r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]+", "") == "")
     parsed = instant_ms(F.when(~blank, F.col("text")), F.col("source") == "takeout_json", "zone_name")
     fallback = F.when(F.col("source") == "mtime", F.floor(epoch_micros("mtime") / 1000).cast("long"))
     return j.select("file_id", F.when(blank, fallback).otherwise(parsed).alias("utc_ms")).where("utc_ms IS NOT NULL")
