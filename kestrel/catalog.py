@@ -287,7 +287,7 @@ def places_below(spark, d):
     return entities.below_threshold(_rec(spark, d, "place_clusters"))
 
 
-_POINTS = "p AS (SELECT DISTINCT id, lat, lon FROM place_clusters WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0))"
+_POINTS = "p AS (SELECT DISTINCT id, lat, lon FROM place_clusters WHERE NOT isnan(lat) AND NOT isnan(lon) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0))"
 _NEAR = "2 * 6371000 * asin(sqrt(least(1, sin(radians(y.lat - x.lat) / 2) ** 2 + cos(radians(x.lat)) * cos(radians(y.lat)) * sin(radians(y.lon - x.lon) / 2) ** 2)))"
 
 
@@ -311,7 +311,7 @@ def nearest_place(spark, d):
     return entities.nearest_place(p.where("id % 2 = 0"), q, 20_000.0).withColumn("metres", F.round("metres", 3))
 
 
-@query(f"WITH {_POINTS} SELECT round_even(lat / (300 / 111320.0), 0)::bigint AS y, round_even(lon / (300 / (111320.0 * greatest(cos(radians(lat)), 1e-6))), 0)::bigint AS x, count(*) AS n FROM p GROUP BY ALL")
+@query(f"WITH {_POINTS} SELECT try_cast(round_even(lat / (300 / 111320.0), 0) AS bigint) AS y, try_cast(round_even(lon / (300 / (111320.0 * greatest(cos(radians(lat)), 1e-6))), 0) AS bigint) AS x, count(*) AS n FROM p GROUP BY ALL")
 def place_cells(spark, d):
     return _points(spark, d).select(cell(F.col("lat"), F.col("lon"), 300.0).alias("c")).groupBy(F.col("c.y").alias("y"), F.col("c.x").alias("x")).agg(F.count("*").alias("n"))
 
