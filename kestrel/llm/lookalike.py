@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.session import cut
+
 #: Most vocabulary words kept (the most frequent); the rest is exactly handled by the table.
 VOCABULARY = 50_000
 
@@ -168,7 +170,7 @@ def look_classes(docs: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
     ``class_id`` is the smallest document of the look, ``spelling_id`` of the very same string. Linear in the
     input whatever the number of copies; aggregation is partial before the shuffle.
     """
-    k = keyed(docs, words)
+    k = cut(keyed(docs, words))  # 40 bytes a document; read twice below
     spell = k.groupBy("look", "own").agg(F.min("doc_id").alias("spelling_id"))
     mixed = spell.groupBy("look").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     named = spell.join(mixed, "look")
@@ -184,7 +186,7 @@ def same_look(docs: DataFrame, size: int = VOCABULARY) -> DataFrame:
     repeated rows count once; an empty table gives no rows; extra columns are ignored.
     """
     words = vocabulary_words(docs, size)
-    c = look_classes(docs, words).distinct()
+    c = cut(look_classes(docs, words).distinct())
     a, b = c.alias("a"), c.alias("b")
     j = a.join(b, F.expr("a.class_id = b.class_id AND a.spelling_id <> b.spelling_id AND a.doc_id < b.doc_id"))
     return j.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"))
