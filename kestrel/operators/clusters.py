@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.operators.graph import components
+from kestrel.session import cut
+
 
 def average_link(cent: np.ndarray, least: float) -> np.ndarray:
     """UPGMA labels: the closest two clusters merge while their mean distance is under 1 - ``least``."""
@@ -87,45 +90,87 @@ def fold_links(links: list[tuple[int, int, str]], cluster: dict[int, int]) -> di
 
 
 def complete_link(x: np.ndarray, least: float = 0.75) -> list[list[int]]:
-    """Each row in order joins the group all of whose members are similar, the one of the best mean, the later of equal ones."""
+    """Each unit row in order joins the group all of whose members are similar, the one of the best mean, the later of equal ones.
+
+    Means come from the groups' sums, so only groups whose mean is high enough are looked at member by member.
+    """
     groups: list[list[int]] = []
+    sums, size = np.empty((16, x.shape[1])), np.empty(16)
     for i in range(len(x)):
-        fits = [(float(s.mean()), k) for k, g in enumerate(groups) if (s := x[g] @ x[i]).min() >= least]
-        if fits:
-            groups[max(fits)[1]].append(i)
+        k = len(groups)
+        mean = np.round(sums[:k] @ x[i] / size[:k], 12)
+        near = np.nonzero(mean >= least - 1e-9)[0]
+        for c in near[np.lexsort((near, mean[near]))[::-1]]:
+            if (x[groups[c]] @ x[i]).min() >= least:
+                groups[c].append(i)
+                sums[c] += x[i]
+                size[c] += 1
+                break
         else:
+            if k == len(sums):
+                sums, size = np.concatenate([sums, np.empty_like(sums)]), np.concatenate([size, np.empty_like(size)])
             groups.append([i])
+            sums[k], size[k] = x[i], 1
     return groups
 
 
-def pets(detections: DataFrame, width: int, least: float = 0.75, members: int = 2, block: int = 2000) -> DataFrame:
+def _tie(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row of each connected part, after rows ``a`` and ``b`` are tied; ``top`` is that of before."""
+    while True:
+        p, q = top[a], top[b]
+        apart = p != q
+        if not apart.any():
+            return top
+        np.minimum.at(top, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while not np.array_equal(top, up := top[top]):
+            top = up
+
+
+def pets(detections: DataFrame, width: int, least: float = 0.75, members: int = 2, block: int = 8192) -> DataFrame:
     """``(id, pet_id)``: animals alike within a species, two or more, toys left out (G12); ``pet_id`` is the smallest id.
 
-    Within a species detections are taken in order of id, in blocks of ``block`` by the nearest of a few fixed
-    directions, so a species that holds most rows is split; animals alike share their block nearly always.
+    Exact. Every two detections of a species are compared, in pairs of blocks of about ``block`` rows, which only say what
+    is connected. A group never leaves its connected part, so each part takes its detections in order of id on its own;
+    ``block`` is the size of a task and no row of the result depends on it. One part is one task, however large.
     """
-    d = detections.where(f"species IS NOT NULL AND species <> 'teddy bear' AND size(embedding) = {width}").dropDuplicates(["id"])
-    n = d.groupBy("species").agg(F.count("*").alias("n"))
-    rng = np.random.default_rng(5)
-    planes = rng.standard_normal((64, width))
+    d = detections.where(f"species IS NOT NULL AND species <> 'teddy bear' AND size(embedding) = {width}").select("id", "species", "embedding").dropDuplicates(["id"])
+    n = d.groupBy("species").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+    rows = d.join(n, "species")
 
-    @F.pandas_udf("int")
-    def side(v: pd.Series, n: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()) if len(v) else np.empty((0, width))
-        k = np.minimum(64, np.maximum(1, n.to_numpy() // block))
-        return pd.Series([int(np.argmax(planes[:m] @ r)) for r, m in zip(x, k)], dtype="int32")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+    def usable(pdf: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+        pdf = pdf.sort_values(order)
         x = np.stack(pdf.embedding.to_numpy()).astype(float)
         ok = np.isfinite(x).all(1) & (x != 0).any(1)
-        ids, x = pdf.id.to_numpy()[ok], x[ok]
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        out = [(ids[i], ids[g[0]]) for g in complete_link(x, least) if len(g) >= members for i in g]
+        x = x[ok]
+        return pdf[ok], x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        pdf, x = usable(pdf, ["id"])
+        ids, own, x = pdf.id.to_numpy(), pdf.own.to_numpy(), x.astype(np.float32)
+        a, b, top = np.nonzero(own == i)[0], np.nonzero(own == j)[0], np.arange(len(ids))
+        for s in range(0, len(a), 512):
+            r, c = np.nonzero(x[a[s:s + 512]] @ x[b].T >= least - 1e-4)  # more ties than needed are harmless
+            top = _tie(top, a[s + r], b[c])
+        tied = np.nonzero(top != np.arange(len(ids)))[0]
+        return pd.DataFrame({"a": ids[tied], "b": ids[top[tied]]})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x = usable(pdf, ["group_id", "id"])
+        ids, group = pdf.id.to_numpy(), pdf.group_id.to_numpy()
+        cuts = [0, *(np.nonzero(group[1:] != group[:-1])[0] + 1), len(ids)]
+        out = [(ids[s + i], ids[s + g[0]]) for s, e in zip(cuts, cuts[1:]) for g in complete_link(x[s:e], least) if len(g) >= members for i in g]
         return pd.DataFrame(out, columns=["id", "pet_id"])
 
-    rows = d.join(n, "species").withColumn("side", side("embedding", "n"))
-    return rows.groupBy("species", "side").applyInPandas(run, "id long, pet_id long")
+    two = rows.withColumn("own", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    two = two.select("species", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "embedding")
+    tied = components(cut(two.groupBy("species", "i", "j").applyInPandas(connect, "a long, b long")))
+    if members > 1:
+        rows = rows.join(tied.withColumnRenamed("node", "id"), "id")
+    else:
+        rows = rows.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
+    side = F.pmod(F.xxhash64("group_id"), "parts").alias("side")
+    return rows.groupBy("species", side).applyInPandas(run, "id long, pet_id long")
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, most: float = 0.5) -> list[int]:

@@ -170,6 +170,22 @@ def test_pets(spark, rows):
     assert rows(clusters.pets(d, 2)) == {(1, 1), (2, 1), (3, 3), (4, 3)}
 
 
+def test_pets_do_not_depend_on_blocks(spark, rows):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((12, 8))[rng.integers(0, 12, 600)] + 0.35 * rng.standard_normal((600, 8))
+    x[::9] = x[0]
+    kind = rng.choice(["cat", "dog"], 600)
+    d = spark.createDataFrame([(i, str(k), [float(z) for z in v]) for i, (k, v) in enumerate(zip(kind, x))], "id long, species string, embedding array<double>")
+    unit, want = x / np.linalg.norm(x, axis=1, keepdims=True), set()
+    for k in ("cat", "dog"):
+        groups = []
+        for i in np.nonzero(kind == k)[0]:
+            fits = [(round(float(s.mean()), 12), g) for g, m in enumerate(groups) if (s := unit[m] @ unit[i]).min() >= 0.75]
+            groups[max(fits)[1]].append(i) if fits else groups.append([i])
+        want |= {(int(i), int(g[0])) for g in groups if len(g) > 1 for i in g}
+    assert rows(clusters.pets(d, 8, block=40)) == rows(clusters.pets(d, 8)) == want
+
+
 def test_snapshots(spark, rows, files):
     f = browse.records(files)
     walk = spark.createDataFrame([(1, "d/1.jpg", 10, 1.0, "h1"), (1, "d/2.jpg", 41, 2.0, "n2"), (1, "new/a.jpg", 5, 99.5, "na"), (1, "new/b.jpg", 5, 1.0, "nb")], "root_id long, rel_path string, size long, mtime double, fast_hash string")
