@@ -311,6 +311,13 @@ def nearest_place(spark, d):
     return entities.nearest_place(p.where("id % 2 = 0"), q, 20_000.0).withColumn("metres", F.round("metres", 3))
 
 
+@query(f"""WITH {_POINTS}, q AS (SELECT x.id, y.id AS place_id, {_NEAR} AS m FROM p x JOIN p y ON x.id <> y.id WHERE {_NEAR} <= 20000)
+SELECT id, (array_agg(place_id ORDER BY m, place_id DESC))[1] AS place_id, round(min(m), 3) AS metres FROM q GROUP BY id""")
+def nearest_other_place(spark, d):
+    p = _points(spark, d)
+    return entities.nearest_place(p, p.withColumnRenamed("id", "place_id"), 20_000.0, others=True).withColumn("metres", F.round("metres", 3))
+
+
 @query(f"WITH {_POINTS} SELECT try_cast(round_even(lat / (300 / 111320.0), 0) AS bigint) AS y, try_cast(round_even(lon / (300 / (111320.0 * greatest(cos(radians(lat)), 1e-6))), 0) AS bigint) AS x, count(*) AS n FROM p GROUP BY ALL")
 def place_cells(spark, d):
     return _points(spark, d).select(cell(F.col("lat"), F.col("lon"), 300.0).alias("c")).groupBy(F.col("c.y").alias("y"), F.col("c.x").alias("x")).agg(F.count("*").alias("n"))

@@ -82,9 +82,11 @@ def place_groups(points: DataFrame, radius_m: float = 300.0) -> DataFrame:
     return p.groupBy("group_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("points"))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, radius_m: float = 300.0) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, radius_m: float = 300.0, others: bool = False) -> DataFrame:
     """``(id, place_id, metres)``: the nearest place within a distance; of equal ones the later.
 
+    With ``others`` the points are places themselves, and none is its own nearest.
+
     Candidates come from a grid of cells half again as wide as the radius: a point looks in its own and the cells
     around, so no side is broadcast. Columns: ``points(id, lat, lon)``, ``places(place_id, lat, lon)``.
     """
@@ -95,7 +97,10 @@ def nearest_place(points: DataFrame, places: DataFrame, radius_m: float = 300.0)
     p = points.withColumn("r", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row(F.col("lat")) + d)))
     p = p.withColumn("c", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(col(F.col("lon"), F.col("r")) + d, width(F.col("r")))))))
     q = places.select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), row(F.col("lat")).alias("r")).withColumn("c", col(F.col("plon"), F.col("r")))
-    j = p.join(q, ["r", "c"]).withColumn("metres", haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("metres") <= radius_m)
+    near = p.join(q, ["r", "c"])
+    if others:
+        near = near.where("id <> place_id")
+    j = near.withColumn("metres", haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("metres") <= radius_m)
     return j.groupBy("id").agg(F.max_by("place_id", F.struct((-F.col("metres")).alias("m"), F.col("place_id"))).alias("place_id"), F.min("metres").alias("metres"))
 
 

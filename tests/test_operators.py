@@ -186,6 +186,24 @@ def test_pets_do_not_depend_on_blocks(spark, rows):
     assert rows(clusters.pets(d, 8, block=40)) == rows(clusters.pets(d, 8)) == want
 
 
+def test_every_place_may_be_the_nearest(spark):
+    from kestrel import catalog
+
+    d = "/root/testdata/sf0.01"
+    p = {r.id: (r.lat, r.lon) for r in catalog._points(spark, d).collect()}
+    ids = np.array(sorted(p))
+    lat, lon = np.radians(np.array([p[i] for i in ids])).T
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    m = 2 * 6_371_000 * np.arcsin(np.sqrt(np.minimum(1, h)))
+    np.fill_diagonal(m, np.inf)
+    want = {int(i): round(float(x), 3) for i, x in zip(ids, m.min(1)) if x <= 20_000}
+    got = {r.id: r for r in catalog.QUERIES["nearest_other_place"](spark, d).collect()}
+    assert got.keys() == want.keys() and {i % 2 for i in got} == {r.place_id % 2 for r in got.values()} == {0, 1}
+    at = {int(i): k for k, i in enumerate(ids)}
+    for i, r in got.items():
+        assert abs(r.metres - want[i]) < 0.01 and abs(m[at[i], at[r.place_id]] - want[i]) < 0.01
+
+
 def test_snapshots(spark, rows, files):
     f = browse.records(files)
     walk = spark.createDataFrame([(1, "d/1.jpg", 10, 1.0, "h1"), (1, "d/2.jpg", 41, 2.0, "n2"), (1, "new/a.jpg", 5, 99.5, "na"), (1, "new/b.jpg", 5, 1.0, "nb")], "root_id long, rel_path string, size long, mtime double, fast_hash string")
