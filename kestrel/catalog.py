@@ -214,6 +214,17 @@ def near_hashes(spark, d):
     return dups.near_hashes(e.select(base.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("event_id") % 60).cast("int"))).alias("hash")))
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+m AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::bigint AS hi, ('0x' || substr(md5(w), 9, 8))::bigint AS lo FROM w),
+v AS (SELECT doc_id, k, sum(CASE WHEN ((CASE WHEN k < 32 THEN lo ELSE hi END) >> (k % 32)::int) & 1 = 1 THEN 1 ELSE -1 END) AS n FROM m, range(64) r(k) GROUP BY ALL),
+s AS (SELECT doc_id, sum(CASE WHEN n <= 0 THEN 0 WHEN k = 63 THEN -9223372036854775808::hugeint ELSE (1::bigint << k::int)::hugeint END)::bigint AS hash FROM v GROUP BY 1),
+h AS (SELECT DISTINCT hash FROM s)
+SELECT x.hash AS a, y.hash AS b, bit_count(xor(x.hash, y.hash))::int AS distance FROM h x JOIN h y ON x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 6""")
+def near_texts(spark, d):
+    texts = table(spark, d, "documents", "doc_id", "text").distinct().withColumnRenamed("doc_id", "id")
+    return dups.near_hashes(dups.text_hashes(texts))
+
+
 # --- Faces, animals, places ---------------------------------------------------------------------------------
 
 _FACES = "x AS (SELECT DISTINCT * EXCLUDE (embedding) FROM faces)"

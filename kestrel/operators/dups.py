@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,14 +19,14 @@ from kestrel.operators.graph import components
 def near_hashes(hashes: DataFrame, most: int = 6, bits: int = 64) -> DataFrame:
     """``(a, b, distance)`` of different 64-bit ``hash`` values at most ``most`` bits apart, a < b.
 
-    Exact by pigeonhole: cut into ``most`` + 1 bands, two such hashes agree in a band at least. Every hash is taken
+    Exact by pigeonhole: cut into ``most`` + 1 bands of even width, two such hashes agree in a band at least. Every hash is taken
     once, however many files have it; a pair is kept in the first band in which it agrees. A band shared by more than
     others is split by adaptive execution.
     """
     bands = most + 1
-    width = -(-bits // bands)
+    ends = [bits * k // bands for k in range(bands + 1)]
     h = hashes.select("hash").where("hash IS NOT NULL").distinct()
-    key = lambda c, k: F.shiftrightunsigned(c, k * width).bitwiseAND(F.lit((1 << width) - 1))
+    key = lambda c, k: F.shiftrightunsigned(c, ends[k]).bitwiseAND(F.lit((1 << (ends[k + 1] - ends[k])) - 1))
     b = h.select("hash", F.posexplode(F.array(*[key(F.col("hash"), k) for k in range(bands)])).alias("band", "bits"))
     x, y = b.alias("x"), b.alias("y")
     j = x.join(y, F.expr("x.band = y.band AND x.bits = y.bits AND x.hash < y.hash")).select(F.col("x.hash").alias("a"), F.col("y.hash").alias("b"), F.col("x.band").alias("band"))
@@ -30,6 +35,33 @@ def near_hashes(hashes: DataFrame, most: int = 6, bits: int = 64) -> DataFrame:
     return j.where(F.col("band") == first).select("a", "b", "distance")
 
 
+def text_hashes(texts: DataFrame) -> DataFrame:
+    """``(id, hash)`` of ``texts(id, text)``: 64-bit similarity hash of the words of each text.
+
+    Every word, as often as it occurs, votes for the bits of the first half of its MD5; a bit is set when more than half of the votes
+    are for it. Words are what stands between blanks, tabs and line ends, as written. NULL for texts without a word.
+    """
+
+    @F.pandas_udf("long")
+    def simhash(text: pd.Series) -> pd.Series:
+        out, known, votes = [], {}, np.empty((1024, 64), np.int8)
+        for t in text:
+            words = re.findall(r"[^ \t\n\r]+", t) if t else []
+            at = []
+            for w in words:
+                if (k := known.get(w)) is None:
+                    k = known[w] = len(known)
+                    if k == len(votes):
+                        votes = np.concatenate([votes, np.empty_like(votes)])
+                    half = np.frombuffer(hashlib.md5(w.encode()).digest()[:8], np.uint8)
+                    votes[k] = np.unpackbits(half).astype(np.int8) * 2 - 1
+                at.append(k)
+            out.append(int(np.packbits(votes[at].sum(0, dtype=np.int64) > 0).view(">i8")[0]) if words else None)
+        return pd.Series(out, dtype="Int64")
+
+    return texts.select("id", simhash("text").alias("hash"))
+
+
 def group_members(files: DataFrame, hashes: DataFrame | None = None, most: int = 6) -> DataFrame:
     """``(id, group_id)`` of files with equal contents or near hashes, groups of two or more; ``group_id`` is the smallest id.
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -68,6 +69,25 @@ def test_near_hashes(spark, rows):
     assert got == {w for w in want if w[2] <= 6}
 
 
+def test_near_texts_take_every_document(spark, rows):
+    import hashlib
+
+    from kestrel import catalog
+
+    def simhash(text):
+        digits = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in re.findall(r"[^ \t\n\r]+", text or "")]
+        h = sum(1 << k for k in range(64) if sum(1 if x >> k & 1 else -1 for x in digits) > 0)
+        return (h - 2**64 if h >= 2**63 else h) if digits else None
+
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: simhash(r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    texts = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id AS id", "text").distinct()
+    assert rows(dups.text_hashes(texts)) == set(docs.items())
+    hs = sorted({h for h in docs.values() if h is not None})
+    want = {(a, b, n) for i, a in enumerate(hs) for b in hs[i + 1:] if (n := ((a ^ b) & (2**64 - 1)).bit_count()) <= 6}
+    assert len(hs) > 900 and rows(catalog.QUERIES["near_texts"](spark, d)) == want
+
+
 def test_visual_groups(spark, rows, files, dates):
     f = browse.records(files).where("id IN (1, 6, 7)")
     h = spark.createDataFrame([(1, 0), (6, 0x3F), (7, -1)], "id long, hash long")
