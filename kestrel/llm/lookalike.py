@@ -1,26 +1,28 @@
 """Visually identical text with different characters (problem 10).
 
-A vocabulary of canonical spellings is held in a trie. A token is read by a weighted edit automaton over that trie
-in which swapping look-alikes and skipping ignorable characters cost nothing and nothing else is allowed; of the
-spellings it reaches the most frequent is the canonical one. Tokens that reach none are normalised by the fold table.
+Canonical spellings are held in a trie, by their look. A word is read by a weighted edit automaton over that trie in
+which swapping look-alikes and skipping ignorable characters cost nothing and nothing else is allowed; a letter that
+looks like several others has an arc for each, so the trie decides which one was meant. Of the spellings it reaches
+the most frequent is the canonical one. Words that reach none, and signs, are normalised by the fold table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.session import cut
 
-#: Most vocabulary words kept (the most frequent); the rest is exactly handled by the table.
-VOCABULARY = 50_000
+#: Most spellings kept in the trie (the most frequent of words that occur in several spellings); the table handles the
+#: rest, and differs only for letters of several looks. Documents of a class in one part of the join of its pairs.
+VOCABULARY, PART = 200_000, 4096
 
 #: Letters and signs that share a shape, each with its prototype.
 LOOKALIKES = {
@@ -37,6 +39,8 @@ LOOKALIKES = {
     "‘": "'", "’": "'", "‛": "'", "′": "'", "ʼ": "'", "ʹ": "'", "ˈ": "'", "“": '"', "”": '"', "‟": '"', "″": '"',
     "…": "...", "‚": ",", "∶": ":", "։": ":", "؛": ";", "⁄": "/", "∕": "/", "∗": "*", "‹": "<", "›": ">", "·": "•", "∙": "•", "⋅": "•",
 }
+#: Letters that look like several others; the first is what the table takes.
+AMBIGUOUS = {"Ӏ": "Il", "ӏ": "lI", "ǀ": "lI", "∣": "lI", "׀": "lI", "ⵏ": "lI", "ן": "lI"}
 #: Letters joined in one code point, beside those whose decomposition says so.
 JOINED = range(0xFB00, 0xFB18)
 JOINED_LATIN = {0x0132, 0x0133, 0x01C7, 0x01C8, 0x01C9, 0x01CA, 0x01CB, 0x01CC, 0x01C4, 0x01C5, 0x01C6, 0x01F1, 0x01F2, 0x01F3}
@@ -52,6 +56,8 @@ def fold_char(c: str) -> str:
     """Prototype of one character: "" for ignorable ones, a blank for any space, decomposed accents kept."""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
+    if c in AMBIGUOUS:
+        return AMBIGUOUS[c][0]
     if _ignorable(c):
         return ""
     if unicodedata.category(c) == "Zs":
@@ -80,72 +86,105 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", text.translate(TABLE))
 
 
+def looks(c: str) -> tuple[str, ...]:
+    """What one character may be meant as, decomposed: its arcs in the automaton."""
+    return tuple(AMBIGUOUS[c]) if c in AMBIGUOUS else (unicodedata.normalize("NFD", TABLE[ord(c)]),)
+
+
+def coarse(word: str) -> str:
+    """A look that all spellings share which the automaton can take for each other."""
+    return fold(word).replace("I", "l")
+
+
+#: A word: letters with marks and whatever may stand unseen between them. The same in Python and on the JVM.
+WORD_CLASS = r"[\p{Lu}\p{Ll}\p{Lt}\p{Lo}\p{M}\p{Nl}\p{Cf}͏∣׀]+"
+_WORD = regex.compile(WORD_CLASS)
+_PURE = regex.compile(r"(?:[A-Za-zÀ-ɏ]+|[Ѐ-ӿ]+|[Ͱ-Ͽ]+)")
+
+
 class Vocabulary:
-    """Trie of canonical spellings with the zero-cost automaton over it."""
+    """Trie of canonical spellings, by their looks, and the zero-cost automaton over it."""
 
-    __slots__ = ("root", "memo")
+    __slots__ = ("root", "memo", "moved")
 
     def __init__(self, words: list[tuple[str, int]]):
         self.root: dict = {}
         self.memo: dict[str, str] = {}
         for w, n in words:
             node = self.root
-            for c in unicodedata.normalize("NFD", w):
+            for c in unicodedata.normalize("NFD", fold(w)):
                 node = node.setdefault(c, {})
             if "" not in node or node[""] < (n, w):
                 node[""] = (n, w)
+        # Plain ASCII words whose canonical spelling is another one: all that an ASCII text can change by.
+        self.moved = {f: c for w, _ in words if (f := fold(w)).isascii() and (c := self.read(f)) != f}
 
-    def read(self, token: str) -> str:
-        """Canonical spelling of a token; tokens of one look give one result."""
-        got = self.memo.get(token)
+    def read(self, word: str) -> str:
+        """Canonical spelling of a word; words of one look give one result."""
+        got = self.memo.get(word)
         if got is None:
-            got = self.memo[token] = self._read(token)
+            got = self.memo[word] = self._read(word)
         return got
 
-    def _read(self, token: str) -> str:
-        want = unicodedata.normalize("NFD", fold(token))
-        if not want:
-            return ""
-        # States: (trie node, characters of the prototype consumed). Every arc costs 0 or is absent.
-        states, best = [(self.root, 0)], None
-        while states:
-            node, at = states.pop()
-            if at == len(want):
-                if "" in node and (best is None or best < node[""]):
-                    best = node[""]
-                continue
-            for c, child in node.items():
-                if c:
-                    f = unicodedata.normalize("NFD", TABLE[ord(c)])
-                    if want.startswith(f, at):
-                        states.append((child, at + len(f)))
-        return best[1] if best else fold(token)
-
-
-_TOKEN = re.compile(r"\S+|\s")
+    def _read(self, word: str) -> str:
+        states = [self.root]
+        for c in unicodedata.normalize("NFD", "".join(c for c in word if TABLE[ord(c)])):
+            after = []
+            for node in states:
+                for look in looks(c):
+                    at = node
+                    for x in look:
+                        at = at.get(x)
+                        if at is None:
+                            break
+                    else:
+                        after.append(at)
+            states = after
+            if not states:
+                break
+        best = max((node[""] for node in states if "" in node), default=None)
+        return best[1] if best else fold(word)
 
 
 def canonical(text: str, vocabulary: Vocabulary) -> str:
-    """``text`` with every token in its canonical spelling and every kind of space as a plain one."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        t = m.group()
-        out.append(vocabulary.read(t) if len(t) > 1 or not t.isspace() else fold(t))
-    return "".join(out)
+    """``text`` with every word in its canonical spelling, signs and spaces by the table: texts that look the same to a
+    reader give the same result."""
+    if text.isascii():
+        moved = vocabulary.moved
+        return _WORD.sub(lambda m: moved.get(m.group(), m.group()), text) if moved else text
+    out, at = [], 0
+    for m in _WORD.finditer(text):
+        out.append(text[at:m.start()].translate(TABLE))
+        out.append(vocabulary.read(m.group()))
+        at = m.end()
+    out.append(text[at:].translate(TABLE))
+    return unicodedata.normalize("NFC", "".join(out))
 
 
 def vocabulary_words(docs: DataFrame, size: int = VOCABULARY) -> list[tuple[str, int]]:
-    """The ``size`` most frequent words of the corpus that are spelled canonically: one script, no ignorables, no
-    compatibility forms. Counts cover all documents; the list is bounded by ``size``."""
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]{2,}"), F.lit(0))).alias("w")
-    pure = r"^(?:[A-Za-zÀ-ɏ]+|[Ѐ-ӿ]+|[Ͱ-Ͽ]+)$"
-    counts = docs.where("text IS NOT NULL").select(word).where(F.col("w").rlike(pure)).groupBy("w").count()
-    top = counts.where("count > 1").orderBy(F.desc("count"), "w").limit(size).collect()
-    return [(r["w"], r["count"]) for r in top]
+    """Spellings to choose from: pure ones (one script, no ignorables, no compatibility forms) of words that the corpus
+    writes in several ways. Words are counted over all documents; only words with a look-alike spelling are brought
+    here, ``size`` of them at most."""
+    word = F.explode(F.regexp_extract_all("text", F.lit(WORD_CLASS), F.lit(0))).alias("w")
+    counts = docs.where("text IS NOT NULL").select(word).groupBy("w").agg(F.count("*").alias("n"))
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ws = batch.column(0).to_pylist()
+            folds = [fold(w) for w in ws]
+            odd = [w != f or not AMBIGUOUS.keys().isdisjoint(w) for w, f in zip(ws, folds)]
+            pure = [_PURE.fullmatch(w) is not None and AMBIGUOUS.keys().isdisjoint(w) for w in ws]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.replace("I", "l") for f in folds], pa.string()), pa.array(odd), pa.array(pure)], ["w", "n", "look", "odd", "pure"])
+
+    seen = counts.mapInArrow(see, "w string, n long, look string, odd boolean, pure boolean")
+    mixed = seen.groupBy("look").agg(F.count("*").alias("k"), F.max("odd").alias("odd")).where("k > 1 AND odd").select("look")
+    top = seen.where("pure").join(mixed, "look", "left_semi").orderBy(F.desc("n"), "w").limit(size).collect()
+    return [(r["w"], r["n"]) for r in top]
 
 
 def keyed(docs: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
-    """``(doc_id, look, own)``: 128-bit hashes of the canonical and of the stored text; none for invisible texts."""
+    """``(doc_id, look, own)``: 128-bit hashes of the canonical and of the stored text; none for invisible texts. Equality of
+    looks is decided by the canonical text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = Vocabulary(words)
@@ -155,7 +194,7 @@ def keyed(docs: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
                 c = canonical(t, voc)
                 if c.strip():
                     ids.append(i)
-                    look.append(hashlib.blake2b(fold(c).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    look.append(hashlib.blake2b(c.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     own.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             if len(voc.memo) > 500_000:
                 voc.memo.clear()
@@ -165,30 +204,33 @@ def keyed(docs: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
 
 
 def look_classes(docs: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
-    """One row per document whose look is stored in several ways: ``(doc_id, class_id, spelling_id)``.
+    """One row per document whose look is stored in several ways: ``(doc_id, class_id, spelling_id, members)``.
 
-    ``class_id`` is the smallest document of the look, ``spelling_id`` of the very same string. Linear in the
-    input whatever the number of copies; aggregation is partial before the shuffle.
+    ``class_id`` is the smallest document of the look, ``spelling_id`` of the very same string, ``members`` counts the
+    documents of the class. Linear in the input whatever the number of copies; aggregation is partial before the shuffle.
     """
-    k = cut(keyed(docs, words))  # 40 bytes a document; read twice below
-    spell = k.groupBy("look", "own").agg(F.min("doc_id").alias("spelling_id"))
-    mixed = spell.groupBy("look").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    named = spell.join(mixed, "look")
-    return k.join(named, ["look", "own"]).select("doc_id", "class_id", "spelling_id")
+    k = cut(keyed(docs, words).distinct())  # 40 bytes a document; read twice below
+    spell = k.groupBy("look", "own").agg(F.min("doc_id").alias("spelling_id"), F.count("*").alias("n"))
+    mixed = spell.groupBy("look").agg(F.min("spelling_id").alias("class_id"), F.sum("n").alias("members"), F.count("*").alias("s")).where("s > 1").drop("s")
+    named = spell.drop("n").join(mixed, "look")
+    return k.join(named, ["look", "own"]).select("doc_id", "class_id", "spelling_id", "members")
 
 
-def same_look(docs: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def same_look(docs: DataFrame, size: int = VOCABULARY, part: int = PART) -> DataFrame:
     """``(doc_a, doc_b)``, a < b: documents that look the same to a reader but are different strings.
 
     Width of forms, composed or combining accents, invisible characters, kinds of space and hyphen, joined letters
     and like-shaped letters or signs are no difference; an accent present or absent, case, digits, raised figures
     and wording are. NULL texts and texts without visible characters are no cases; equal strings give no pair;
-    repeated rows count once; an empty table gives no rows; extra columns are ignored.
+    repeated rows count once; an empty table gives no rows; extra columns are ignored. Class rows come first
+    (``look_classes``); pairs are listed from them with classes of more than ``part`` documents split into parts, so that no
+    task lists a large class alone.
     """
     words = vocabulary_words(docs, size)
-    c = cut(look_classes(docs, words).distinct())
-    a, b = c.alias("a"), c.alias("b")
-    j = a.join(b, F.expr("a.class_id = b.class_id AND a.spelling_id <> b.spelling_id AND a.doc_id < b.doc_id"))
+    c = cut(look_classes(docs, words)).withColumn("parts", F.ceil(F.col("members") / part).cast("int"))
+    a = c.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("a")
+    b = c.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).alias("b")
+    j = a.join(b, F.expr("a.class_id = b.class_id AND a.p = b.p AND a.spelling_id <> b.spelling_id AND a.doc_id < b.doc_id"))
     return j.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.components import linked_faces
 from kestrel.llm.leakage import leaked
-from kestrel.llm.lookalike import same_look
+from kestrel.llm.lookalike import canonical_text, same_look
 from kestrel.llm.pages import clean_pages, scan_faults
 from kestrel.llm.survivor import survivors
 from kestrel.llm.tokens import encode_corpus
@@ -67,7 +67,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p4_found, p4_pages, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+def p10_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in its canonical spelling."""
+    return canonical_text(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "canonical")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p4_found, p4_pages, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_text)}
 
 _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 

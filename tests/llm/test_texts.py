@@ -75,6 +75,20 @@ def test_vocabulary_reads_through_look_alikes():
     assert lookalike.canonical("раper\u00a0 x", v) == "paper  x"
 
 
+def test_automaton_decides_letters_of_several_looks(spark, rows):
+    """The trie reads a bar-shaped letter as l or I by the word; the table alone has one reading and loses pairs."""
+    texts = ["a light INDEX", "a Ӏight ӀNDEX", "a ӏight ӏNDEX"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string")
+    assert rows(lookalike.same_look(d)) == {(1, 2), (1, 3), (2, 3)}
+    assert len({lookalike.fold(t) for t in texts}) == 3 == len({lookalike.canonical(t, lookalike.Vocabulary([])) for t in texts})
+
+
+def test_large_class_is_split(spark, rows):
+    d = spark.createDataFrame([(i, "pa" + "\u200b" * (i % 3) + "per") for i in range(40)], "doc_id long, text string")
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 3 != b % 3}
+    assert rows(lookalike.same_look(d, part=4)) == want == rows(lookalike.same_look(d))
+
+
 def test_pairs(spark, rows):
     d = spark.createDataFrame([(1, "the paper", 0), (2, "the раper", 0), (3, "the paper", 0), (4, "the Paper", 0), (5, None, 0), (6, "", 0), (7, "\u200b ", 0), (8, " ", 0), (9, "the pa\u200bper", 0), (2, "the раper", 0)], "doc_id long, text string, look int")
     assert rows(lookalike.same_look(d)) == {(1, 2), (2, 3), (1, 9), (2, 9), (3, 9)}
