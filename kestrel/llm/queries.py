@@ -11,7 +11,7 @@ from kestrel.llm.components import linked_faces
 from kestrel.llm.leakage import leaked
 from kestrel.llm.lookalike import canonical_text, same_look
 from kestrel.llm.pages import clean_pages, scan_faults
-from kestrel.llm.survivor import survivors
+from kestrel.llm.survivor import records, survivors
 from kestrel.llm.tokens import encode_corpus
 from kestrel.llm.vectors import considered, describe, near_pairs, tight_clusters
 from kestrel.session import table
@@ -55,6 +55,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(table(spark, d, "files"))
 
 
+def p7_records(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of each content, with every field fused."""
+    return records(table(spark, d, "files"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
@@ -72,7 +77,7 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
     return canonical_text(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "canonical")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p4_found, p4_pages, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_text)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p4_found, p4_pages, p6_found, p7_found, p7_records, p8_ids, p9_found, p10_found, p10_text)}
 
 _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 

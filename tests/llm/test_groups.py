@@ -89,3 +89,23 @@ def test_fusion_discounts_copies(spark):
     right = lambda g: sum(g[i] == t for i, t in truth.items())
     assert right(got) > right(plain) and right(got) >= 54
     assert sv.fuse(df.limit(0)).count() == 0
+
+
+def test_fused_size_is_decided_by_what_other_fields_show(spark):
+    """Four archives copy one another's wrong extensions; in the end three sound ones outvote them about a size."""
+    rng = np.random.default_rng(1)
+    f, n = [], 0
+    for i in range(60):
+        lie = f"bad{i}" if rng.random() < 0.45 else "jpg"
+        for root in range(1, 8):
+            n += 1
+            sound = root <= 3
+            ext = (f"own{root}{i}" if rng.random() < 0.07 else "jpg") if sound else lie
+            f.append((n, root, "x", ext, (9 if sound else 5) if i == 0 else 7, 1.0e9, "h", f"{i:064x}", 1, 0, 0))
+    df = spark.createDataFrame(f, F)
+    got = {r.sha256: r for r in sv.records(df, 4).collect()}
+    first = f"{0:064x}"
+    assert got[first].size == 9 and all(r.size == 7 for k, r in got.items() if k != first) and sum(r.ext == "jpg" for r in got.values()) >= 56
+    assert {r.sha256: r.size for r in sv.survivors(df, 4).collect()}[first] == 9
+    alone = df.where(f"sha256 = '{first}'")  # without the record of the others the majority wins
+    assert sv.survivors(alone, 4).first().size == 5
