@@ -87,6 +87,15 @@ WITH f AS (SELECT DISTINCT id, embedding FROM faces WHERE not_person = 0
            AND (quality_tier IS NULL OR upper(regexp_replace(trim(quality_tier), '[ _-]+', '_', 'g')) <> 'LOW_QUALITY') AND {_USABLE}),
 n AS (SELECT a.id AS id, list_sort(list(b.id)) AS around FROM f a JOIN f b ON list_cosine_similarity(a.embedding, b.embedding) >= 0.75 GROUP BY a.id)
 SELECT unnest(ids) AS face_id, around[1] AS cluster_id FROM (SELECT around, list(id) AS ids FROM n GROUP BY around HAVING count(*) = len(around) AND count(*) >= 3)""",
+    "p2_people": f"""
+WITH f AS (SELECT DISTINCT id, embedding FROM faces WHERE not_person = 0
+           AND (quality_tier IS NULL OR upper(regexp_replace(trim(quality_tier), '[ _-]+', '_', 'g')) <> 'LOW_QUALITY') AND {_USABLE}),
+n AS (SELECT a.id AS id, list_sort(list(b.id)) AS around FROM f a JOIN f b ON list_cosine_similarity(a.embedding, b.embedding) >= 0.75 GROUP BY a.id),
+c AS (SELECT unnest(ids) AS id, around[1] AS cluster_id FROM (SELECT around, list(id) AS ids FROM n GROUP BY around HAVING count(*) = len(around) AND count(*) >= 3)),
+x AS (SELECT cluster_id, id, generate_subscripts(e, 1) AS pos, unnest(e) / sqrt(list_dot_product(e, e)) AS v FROM (SELECT cluster_id, id, embedding::double[] AS e FROM c JOIN f USING (id))),
+m AS (SELECT cluster_id, list(s ORDER BY pos) AS m FROM (SELECT cluster_id, pos, sum(v) AS s FROM x GROUP BY ALL) GROUP BY 1),
+r AS (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY round(list_cosine_similarity(embedding::double[], m), 6) DESC, id) AS r FROM c JOIN f USING (id) JOIN m USING (cluster_id))
+SELECT cluster_id, count(*) AS members, min(id) FILTER (r = 1) AS medoid, list(id ORDER BY r) FILTER (r <= 3) AS typical FROM r GROUP BY 1""",
     "p6_found": """
 WITH RECURSIVE latest AS (
   SELECT least(face_a, face_b) AS a, greatest(face_a, face_b) AS b,

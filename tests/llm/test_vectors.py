@@ -98,3 +98,43 @@ def test_considered(spark):
     f = spark.createDataFrame([(1, 0, "HIGH"), (2, 0, " low-quality"), (3, 1, "HIGH"), (4, 0, None), (5, None, "HIGH")], "id long, not_person long, quality_tier string")
     assert {r.id for r in vectors.considered(f).collect()} == {1, 4}
     assert vectors.tight_clusters(spark.createDataFrame([], S), 4).count() == 0
+
+
+def test_hot_vectors_are_folded_and_nothing_is_lost(spark, rows):
+    """A third of all rows share one vector; only its first records are placed in shards."""
+    x = people(6, n=300)
+    x = np.concatenate([x, np.repeat(x[:1], 150, 0), np.repeat(x[5:6], 20, 0)])
+    df = frame(spark, x)
+    s = vectors.Shards(df, 32, 3000, 4, keep=6, hot=15)
+    assert len(s.hot_keys) == 2 and sorted(map(len, s.kept)) == [6, 6] and s.twins(df).select("id").distinct().count() == 170 + 2 - 12
+    assert rows(vectors.near_pairs(df, 32, hot=15)) == top_pairs(x)
+    far = np.eye(32, dtype=np.float32)[:1] * np.ones((120, 1), np.float32)
+    y = np.concatenate([people(4, groups=60, n=150, spread=0.2), far])
+    assert rows(vectors.tight_clusters(frame(spark, y), 32, hot=15)) == cliques(y) >= {(i, 151) for i in range(151, 271)}
+
+
+def test_second_level_of_pivots(spark):
+    x = people(7, n=2000, groups=200)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = vectors.Shards(frame(spark, x), 32, 10, 4, flat=50)
+    flat = vectors.Shards(frame(spark, x), 32, 10, 4)
+    assert s.tops is not None and len(s.pivots) == 200
+    assert np.mean([len(set(a) & set(b)) / 4 for a, b in zip(s.of(x).tolist(), flat.of(x).tolist())]) > 0.95
+
+
+def test_members_settle_by_medoid(spark):
+    """A vector near two pivots goes to the closer pivot first and then to the closer medoid; both clusters are touched."""
+    ang = lambda *deg: np.array([[np.cos(np.radians(d)), np.sin(np.radians(d))] for d in deg], np.float32)
+    x = ang(0, 1, 2, 40, 60, 80, 81, 82, 83)  # 40 degrees: 0.766 away
+    done = spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (4, 1, 0.766), (5, 5, 1.0), (6, 5, 0.94), (7, 5, 0.93), (8, 5, 0.93), (9, 5, 0.92)], "f long, pivot long, sim double")
+    near = spark.createDataFrame([(4, 1, 0.766), (4, 5, 0.94), (1, 1, 1.0), (5, 5, 1.0)], "f long, to long, sim float")
+    got = {r.f: r.pivot for r in vectors.settle(frame(spark, x), done, near, 2).collect()}
+    assert got[4] == 1 and got[5] == 5  # the second cluster's medoid lies at 81 degrees, further than the first one's
+    x = ang(0, 1, 2, 45, 60, 61, 62, 63, 64)
+    assert {r.f: r.pivot for r in vectors.settle(frame(spark, x), done, near, 2).collect()}[4] == 5
+
+
+def test_large_clusters_are_ranked_in_parts(spark, rows):
+    x = people(8, n=200, groups=3)
+    m = spark.createDataFrame([(i + 1, i % 3) for i in range(200)], "id long, cluster_id long")
+    assert rows(vectors.ranked(m, frame(spark, x), 32, 3, block=10)) == rows(vectors.ranked(m, frame(spark, x), 32, 3))
