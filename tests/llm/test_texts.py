@@ -149,7 +149,7 @@ def texts_table(spark):
 
 def test_faults(spark, rows):
     corpus = spark.createDataFrame([(t,) for t in CLEAN * 60], "text string")
-    got = rows(pages.scan_faults(chunk_table(spark), texts_table(spark), corpus))
+    got = rows(pages.scan_faults(chunk_table(spark), texts_table(spark), corpus, pairs=1))
     assert got == {
         (1, 1, "running", ""), (1, 3, "misread", "page"), (1, 3, "hyphen", "shoebox"), (1, 8, "misread", "lighthouse"), (1, 8, "hyphen", "well-lit"), (1, 9, "misread", "careful"), (1, 10, "page_number", ""),
         (2, 1, "running", ""), (2, 1, "misread", "orchard"), (2, 3, "hyphen", "photograph"), (2, 5, "page_number", ""), (2, 6, "running", ""), (2, 8, "page_number", ""),
@@ -160,12 +160,44 @@ def test_faults(spark, rows):
 
 def test_paragraphs(spark):
     corpus = spark.createDataFrame([(t,) for t in CLEAN * 60], "text string")
-    got = {r.chunk_id: r.text for r in pages.clean_pages(chunk_table(spark), texts_table(spark), corpus).collect()}
+    got = {r.chunk_id: r.text for r in pages.clean_pages(chunk_table(spark), texts_table(spark), corpus, pairs=1).collect()}
     assert got[1].startswith("There is half a page about the narrow shoebox that somebody developed.\n\n1962") and "lighthouse" in got[1] and "well-lit and careful." in got[1]
     assert got[2].endswith("the photograph of an umbrella.") and "Orch" not in got[2] and got[6] == ""
 
 
-def test_character_model_prefers_likely_names():
-    names = pages.Names({w: 1 for w in ("norinosund", "norinoville", "torisund", "koriville", "orinomouth", "sundville")})
+def test_context_decides_what_a_line_is():
+    """Capitalised words without an end, said once: a running title beside a page number, text inside a paragraph, though
+    the features of the line are the same and alone speak for a title."""
+    m = pages.LineModel()
+    text, title, number = (0, 0, 0, 2, 2), (0, 1, 0, 2, 2), (2, 4, 0, 2, 2)
+    assert m.label([text, text, None, number, title, None, text])[3:5] == [pages.NUMBER, pages.RUNNING]
+    assert m.label([text, text, text, title, text, text])[3] == pages.BODY
+    assert max(range(4), key=m._cost(title).__getitem__) == pages.RUNNING
+
+
+def test_confusions_are_learned(spark):
+    words = ["calendar", "umbrella", "suitcase", "thunderstorm", "lighthouse", "photograph", "negative", "musician"]
+    counts = spark.createDataFrame([(w, 100) for w in words] + [("pagcd", 1)], "word string, n long")
+    seen = [w.replace("e", "c", 1) for w in words if "e" in w] + [w.replace("m", "rn", 1) for w in words if "m" in w] + ["zzzzz", "1962"]
+    got = pages.learn_confusions(spark.createDataFrame([(w,) for w in seen], "word string"), counts, 2)
+    assert {(r, s) for r, s, _ in got} == {("e", "c"), ("m", "rn")} and all(0 < w <= 1 for *_, w in got)
+    assert pages.learn_confusions(counts.select("word").limit(0), counts) == []
+
+
+def test_blocks_see_their_neighbours(spark, rows, monkeypatch):
+    """A file longer than a block: titles and numbers are known as such by the chunks around."""
+    chunks = [(k, 5, k, k, k, f"Orchard Lorounova\nThe light at the lighthouse number {k}.\n{k + 1}") for k in range(40)]
+    df = spark.createDataFrame(chunks, "id long, file_id long, ordinal long, page_first long, page_last long, text string")
+    whole = rows(pages.scan_faults(df, texts_table(spark)))
+    assert {(c, k) for c, _, k, _ in whole} == {(c, k) for c in range(40) for k in ("running", "page_number")}
+    monkeypatch.setattr(pages, "CHUNKS", 4)
+    monkeypatch.setattr(pages, "CONTEXT", 2)
+    assert rows(pages.scan_faults(df, texts_table(spark))) == whole
+
+
+def test_character_model_prefers_likely_names(spark):
+    words = spark.createDataFrame([(w, 1) for w in ("norinosund", "norinoville", "torisund", "koriville", "orinomouth", "sundville", "a1")], "word string, n long")
+    names = pages.Names(pages.name_grams(words))
     assert names.score("norisund") > names.score("norlsund") + 2
-    assert pages.candidates("rnaleta")["maleta"] == 1 and "page" in pages.candidates("pagc")
+    conf = [("m", "rn", 1.0), ("e", "c", 0.5)]
+    assert pages.candidates("rnaleta", conf)["maleta"] == (1, 1.0) and pages.candidates("pagc", conf)["page"] == (1, 0.5) and pages.candidates("rnagc", conf)["mage"] == (2, 0.5)
