@@ -13,9 +13,10 @@ import numpy as np
 
 #: One node in THIN rises a layer; nodes of the top layer at most; links of a node; nearest upper nodes a node is handed
 #: to; candidates kept of those; links chosen on an upper layer; queries in step.
-THIN, TOP, LINKS, HANDED, SEEDS, ABOVE, STEP = 32, 32, 16, 8, 24, 16, 2048
-#: Walking an upper layer: candidates kept, expanded in a round, and nodes by which the layer is entered.
-KEPT, BEAM, ENTER = 20, 3, 6
+THIN, TOP, LINKS, HANDED, SEEDS, ABOVE, STEP = 16, 64, 16, 8, 24, 32, 2048
+#: Walking an upper layer: candidates kept, expanded in a round, nodes by which the layer is entered, rounds, and the
+#: similarity under which a node leads nowhere.
+KEPT, BEAM, ENTER, ROUNDS, UNLIKE = 24, 6, 8, 4, 0.0
 _ID = (1 << 24) - 1
 
 
@@ -27,6 +28,11 @@ def _pack(row: np.ndarray, sim: np.ndarray, col: np.ndarray) -> np.ndarray:
 
 def _first(keys: np.ndarray, rows: int, k: int) -> np.ndarray:
     """The first ``k`` different columns of every row of packed keys, -1 where there are fewer."""
+    return _best(keys, rows, k)[0]
+
+
+def _best(keys: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_first`` and the keys of what it took."""
     keys = np.sort(keys)
     if len(keys) > 1:
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
@@ -36,7 +42,7 @@ def _first(keys: np.ndarray, rows: int, k: int) -> np.ndarray:
     out = np.full((rows, k), -1, np.int32)
     keep = place < k
     out[row[keep], place[keep]] = col[keep]
-    return out
+    return out, keys[keep]
 
 
 class Graph:
@@ -74,23 +80,33 @@ class Graph:
                 best = np.argsort(-np.take_along_axis(sim, part, 1), axis=1, kind="stable")
                 out[s:s + STEP] = np.take_along_axis(part, best, 1)
             return out
-        above = self.down[depth][self._descend(q, depth + 1, ENTER)]
-        out = np.empty((len(q), k), np.int32)
-        for s in range(0, len(q), STEP):
-            cand = np.full((len(above[s:s + STEP]), KEPT), -1, np.int32)
-            cand[:, : above.shape[1]] = above[s:s + STEP]
-            out[s:s + STEP] = self._walk(q[s:s + STEP], depth, cand, BEAM, 12, -1.0)[:, :k]
+        # Walk: in each round the best candidates not yet expanded are, all queries that expand one node together.
+        links = self.links[depth]
+        ways = links.ravel(), np.arange(len(links) + 1) * links.shape[1]
+        opened = self.down[depth][self._descend(q, depth + 1, ENTER)]
+        row = np.repeat(np.arange(len(q)), opened.shape[1])
+        keys = _pack(row, np.einsum("id,ijd->ij", q, x[opened]).ravel(), opened.ravel())
+        cand, fresh = opened, opened
+        for _ in range(ROUNDS):
+            keys = np.concatenate([keys, self._scan(depth, q, fresh, UNLIKE, ways)])
+            cand, keys = _best(keys, len(q), max(k, KEPT))
+            best = cand[:, :BEAM]
+            fresh = np.where((best[:, :, None] == opened[:, None, :]).any(2), -1, best)
+            opened = np.concatenate([opened, fresh], 1)
+        out = cand[:, :k]
         return np.where(out < 0, out[:, :1], out)
 
-    def _scan(self, depth: int, q: np.ndarray, handed: np.ndarray, floor: float = -2.0) -> np.ndarray:
-        """Packed (query, similarity, place) of the nodes of layer ``depth`` that were handed to the given upper nodes."""
-        (order_of, bounds), x = self.children, self.vectors[depth]
+    def _scan(self, depth: int, q: np.ndarray, handed: np.ndarray, floor: float = -2.0, ways: tuple | None = None) -> np.ndarray:
+        """Packed (query, similarity, place) of the nodes of layer ``depth`` that were handed to the given upper nodes, or to
+        which the given nodes' links (``ways``) lead."""
+        (order_of, bounds), x = ways or self.children, self.vectors[depth]
         flat, row = handed.ravel(), np.repeat(np.arange(len(handed)), handed.shape[1])
         order = np.argsort(flat, kind="stable")
         cuts = np.searchsorted(flat[order], np.arange(len(bounds)))
         keys = []
         for u in np.nonzero(cuts[1:] > cuts[:-1])[0]:
             kids = order_of[bounds[u]:bounds[u + 1]]
+            kids = kids[kids >= 0]
             if not len(kids):
                 continue
             for s in range(cuts[u], cuts[u + 1], STEP):
@@ -151,8 +167,9 @@ class Graph:
         rests when all its candidates are expanded. Candidates under similarity ``floor`` are not expanded.
         """
         n, out = len(self.x), np.full((len(q), k), -1, np.int32)
-        if not n:
+        if not n or not len(q):
             return out
+        entered = self._descend(q, 0, ef) if seeds is None and len(self.layers) > 1 else None
         for s in range(0, len(q), STEP):
             qs = q[s:s + STEP]
             if len(self.layers) == 1:
@@ -161,11 +178,7 @@ class Graph:
                 out[s:s + STEP] = _first(_pack(a, sim[a, b], b), len(qs), k)
                 continue
             if seeds is None:
-                ef = max(ef, 2 * SEEDS)
-                enter = self.down[0][self._descend(qs, 1, 2 * HANDED)]
-                cand = np.full((len(qs), ef), -1, np.int32)
-                cand[:, : enter.shape[1]] = enter
-                cand = self._walk(qs, 0, cand, beam, 3 * rounds, min(floor, 0.0) - 0.25)
+                cand = self._walk(qs, 0, entered[s:s + STEP], beam, rounds, floor)
             else:
                 cand = self._walk(qs, 0, seeds[s:s + STEP, :ef].copy(), beam, rounds, floor, s)
             out[s:s + STEP, :min(k, ef)] = cand[:, :k]
