@@ -12,7 +12,7 @@ from kestrel.llm.leakage import leaked
 from kestrel.llm.lookalike import canonical_text, same_look
 from kestrel.llm.pages import clean_pages, scan_faults
 from kestrel.llm.survivor import records, survivors
-from kestrel.llm.tokens import encode_corpus
+from kestrel.llm.tokens import decode_corpus, encode_corpus
 from kestrel.llm.vectors import considered, describe, near_pairs, tight_clusters
 from kestrel.session import table
 
@@ -64,6 +64,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text again from its ids."""
+    return decode_corpus(p8_ids(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
 
@@ -77,11 +82,12 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
     return canonical_text(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "canonical")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p4_found, p4_pages, p6_found, p7_found, p7_records, p8_ids, p9_found, p10_found, p10_text)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_people, p4_found, p4_pages, p6_found, p7_found, p7_records, p8_ids, p8_text, p9_found, p10_found, p10_text)}
 
 _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
 SQL: dict[str, str] = {
+    "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": f"""
 WITH f AS (SELECT DISTINCT id, embedding FROM faces WHERE not_person = 0
            AND (quality_tier IS NULL OR upper(regexp_replace(trim(quality_tier), '[ _-]+', '_', 'g')) <> 'LOW_QUALITY') AND {_USABLE}),

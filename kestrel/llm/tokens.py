@@ -2,18 +2,23 @@
 
 The merges are compiled to a deterministic tokenization automaton. Its states are the tokens (the last one emitted)
 and its arcs are labelled with tokens. It starts with all arcs; each merge, in order of priority, adds one gadget
-that reroutes what would spell the merged pair to the merged token, i.e. takes away the arcs between tokens that end
-in the left part and tokens that begin with the right part. Arcs are tabulated when first used, since all of them
-would be the square of the vocabulary. Exactly one accepted path spells a word; encoding follows it through a trie
-of labels, and decoding emits the labels.
+that reroutes what would spell the merged pair to the merged token, i.e. takes away the arcs from tokens that end
+in the left part to tokens that begin with the right part, as both stood when the merge came.
+
+Ordered as a forest by their right parts, the tokens that end in a given part at a given time are one interval; ordered by
+their left parts, those that begin with it are another. So a gadget takes away a rectangle of arcs, and the automaton is
+a table: for every state the sorted intervals of labels that do not lead on. Exactly one accepted path spells every
+prefix of a word, so encoding is one pass of table look-ups without a way back, and decoding emits the labels.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -21,6 +26,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words whose paths a worker remembers.
 WORDS_KEPT = 300_000
 
 
@@ -39,86 +45,130 @@ class Automaton:
                     token, rank = line.split()
                     self.label[int(rank)] = base64.b64decode(token)
         self.state = {v: k for k, v in self.label.items()}
-        self.longest = max(map(len, self.state))
-        self.arcs: dict[tuple[int, int], bool] = {}
         self.gadgets: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.words: dict[bytes, list[int]] = {}
         for rank in sorted(self.label):
-            self._add_gadget(rank)
-
-    def _add_gadget(self, rank: int) -> None:
-        """One more merge. Its two parts are the last two tokens that the automaton so far leaves of its bytes."""
+            if pair := self._pair(rank):
+                self.parts[rank] = pair
+                self.gadgets[pair] = rank
+        self._compile()
+        starts: dict[bytes, set[int]] = {}
+        for b in self.state:
+            starts.setdefault(b[:2], set()).add(len(b))
+        self.lengths = {k: sorted(v) for k, v in starts.items()}
+
+    def _pair(self, rank: int) -> tuple[int, int] | None:
+        """What a merge joins: the two earlier tokens that spell it and between which its predecessors left the arc."""
         b = self.label[rank]
-        if len(b) == 1:
-            return
-        path = self._path(b, rank)
-        if len(path) == 2:
-            self.parts[rank] = (path[0], path[1])
-            self.gadgets[path[0], path[1]] = rank
-
-    def arc(self, a: int, b: int, below: int | None = None) -> bool:
-        """Whether token b may follow token a once all gadgets of rank under ``below`` are in place.
-
-        The gadgets that could cut the arc are those of (suffix part of a, prefix part of b) that were whole at
-        the time: going back in time, whichever side was made last is opened.
-        """
-        if below is None:
-            known = self.arcs.get((a, b))
-            if known is not None:
-                return known
-        x, y, until, free = a, b, (1 << 40) if below is None else below, True
+        for i in range(1, len(b)):
+            x, y = self.state.get(b[:i], rank), self.state.get(b[i:], rank)
+            if x < rank and y < rank and self._open(x, y, rank):
+                return x, y
+        return None
+
+    def _open(self, x: int, y: int, until: int) -> bool:
+        """Whether the gadgets of rank under ``until`` leave the arc from x to y: going back in time, whichever of the two
+        was made last is opened (of equals the right one, for merges run from left to right)."""
         while True:
-            rank = self.gadgets.get((x, y))
-            if rank is not None and rank < until:
-                free = False
-                break
+            if self.gadgets.get((x, y), until) < until:
+                return False
             rx, ry = (x if x in self.parts else -1), (y if y in self.parts else -1)
             if rx < 0 and ry < 0:
-                break
-            # Merges run by rank, then from left to right, so of equal ranks the right token was made last. Before it
-            # was made only its half stood there; a merge across the boundary came first if it precedes that moment.
+                return True
             if rx > ry:
                 until, x = rx, self.parts[x][1]
             else:
                 until, y = ry + 1, self.parts[y][0]
-        if below is None:
-            self.arcs[a, b] = free
-        return free
-
-    def _path(self, word: bytes, below: int | None = None) -> list[int]:
-        """The accepted path that spells ``word``: longest label first, back where no arc leads on."""
-        n, at, path, dead = len(word), 0, [], set()
-        length = min(n, self.longest)
-        while at < n:
-            length = min(length, n - at)
-            while length:
-                t = self.state.get(word[at:at + length])
-                if t is not None and (below is None or t < below or length == 1) and at + length not in dead and (not path or self.arc(path[-1], t, below)):
-                    break
-                length -= 1
-            if length:
-                path.append(t)
-                at += length
-                length = self.longest
-            else:
-                dead.add(at)
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                length = len(self.label[path.pop()])
-                at -= length
-                length -= 1
-        return path
+
+    def _forest(self, side: int) -> tuple[dict[int, list[int]], dict[int, int], dict[int, int]]:
+        """Tokens in the order of a forest in which a token hangs below its part of one side: the children of each by rank,
+        the place of each (after all below it) and the first place below it."""
+        below: dict[int, list[int]] = {}
+        for t in sorted(self.parts):
+            below.setdefault(self.parts[t][side], []).append(t)
+        place, first, n = {}, {}, 0
+        for root in sorted(t for t in self.label if t not in self.parts):
+            first[root], stack = n, [(root, 0)]
+            while stack:
+                t, i = stack.pop()
+                own = below.get(t, ())
+                if i < len(own):
+                    stack += [(t, i + 1), (own[i], 0)]
+                    first[own[i]] = n
+                else:
+                    place[t] = n
+                    n += 1
+        return below, place, first
+
+    def _compile(self) -> None:
+        """One gadget after another: its rectangle, as an interval of labels for each of its states; then one sorted list of
+        disjoint intervals a state."""
+        right, row, row_first = self._forest(1)
+        left, col, col_first = self._forest(0)
+        boxes = []
+        for (x, y), rank in self.gadgets.items():
+            later, i = right.get(x, ()), bisect_right(right.get(x, ()), rank)  # still x when the merge came: made into more later
+            same, j = left.get(y, ()), bisect_left(left.get(y, ()), rank)
+            boxes.append((row_first[later[i]] if i < len(later) else row[x], row[x] + 1, col_first[same[j]] if j < len(same) else col[y], col[y] + 1))
+        b = np.array(boxes, np.int64).reshape(-1, 4)
+        size = b[:, 1] - b[:, 0]
+        at = np.repeat(b[:, 0], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        lo, hi = np.repeat(b[:, 2], size), np.repeat(b[:, 3], size)
+        order = np.lexsort((hi, lo, at))
+        at, lo, hi = at[order], lo[order], hi[order]
+        n = len(self.label)
+        reach = np.maximum.accumulate(hi + at * (n + 1)) - at * (n + 1)  # the furthest end so far in the row
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (at[1:] != at[:-1]) | (lo[1:] > reach[:-1])
+        last = np.append(np.nonzero(fresh)[0][1:], len(at)) - 1
+        self.cut_from, self.cut_to = lo[fresh].tolist(), reach[last].tolist() if len(at) else []
+        bounds = np.searchsorted(at[fresh], np.arange(n + 1)).tolist()
+        self.row = {t: (bounds[p], bounds[p + 1]) for t, p in row.items()}
+        self.col = col
+
+    def arc(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a."""
+        first, end = self.row[a]
+        c = self.col[b]
+        i = bisect_right(self.cut_from, c, first, end) - 1
+        return i < first or self.cut_to[i] <= c
+
+    def _path(self, word: bytes) -> list[int]:
+        """The accepted path that spells ``word``: at every place where a prefix ends, the one token it ends in."""
+        state, lengths, row, col, cut_from, cut_to = self.state, self.lengths, self.row, self.col, self.cut_from, self.cut_to
+        n = len(word)
+        ends: list[int] = [-1] * (n + 1)
+        for at in range(n):
+            if at:
+                if ends[at] < 0:
+                    continue
+                first, end = row[ends[at]]
+            for length in lengths.get(word[at:at + 2], ()) if at + 1 < n else ():
+                t = state.get(word[at:at + length])
+                if t is not None and at + length <= n:
+                    if at:
+                        c = col[t]
+                        i = bisect_right(cut_from, c, first, end) - 1
+                        if i >= first and cut_to[i] > c:
+                            continue
+                    ends[at + length] = t
+            t = state[word[at:at + 1]]
+            if not at or self.arc(ends[at], t):
+                ends[at + 1] = t
+        path = []
+        while n:
+            path.append(ends[n])
+            n -= len(self.label[ends[n]])
+        return path[::-1]
 
     def encode_word(self, word: bytes) -> list[int]:
-        t = self.state.get(word)
-        if t is not None and (t in self.parts or len(word) == 1):
-            return [t]
         got = self.words.get(word)
         if got is None:
             if len(self.words) > WORDS_KEPT:
                 self.words.clear()
-            got = self.words[word] = self._path(word)
+            t = self.state.get(word)
+            got = self.words[word] = [t] if t is not None and (t in self.parts or len(word) == 1) else self._path(word)
         return got
 
     def encode(self, text: str) -> list[int]:

@@ -36,6 +36,18 @@ def test_tokens_equal_reference(text):
 _REF: dict = {}
 
 
+@needs_vocabulary
+def test_table_holds_what_the_gadgets_leave():
+    import random
+
+    a, r = tokens.automaton(PATH), random.Random(3)
+    some = r.sample(sorted(a.label), 400)
+    pairs = [(x, y) for x in some for y in some] + [p for g in r.sample(sorted(a.gadgets), 2000) for p in (g, g[::-1])]
+    assert all(a.arc(x, y) == a._open(x, y, 1 << 40) for x, y in pairs)
+    assert not any(a.arc(x, y) for x, y in a.gadgets)
+    assert all(p < q for first, end in a.row.values() for p, q in zip(a.cut_to[first:end], a.cut_from[first + 1:end]))
+
+
 @needs_vocabulary
 def test_token_table(spark):
     long = "word " * 50_000 + "a" * 20_000
