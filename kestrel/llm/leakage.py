@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.lookalike import fold
+from kestrel.session import cut
 
-#: Consecutive words that make a leak; BM25 constants; postings of a block; characters of items indexed at once.
-RUN, K1, B, BLOCK, ITEM_CHARS = 10, 1.2, 0.75, 16, 32_000_000
+#: Consecutive words that make a leak; BM25 constants; postings of a block; characters of items indexed at once (about
+#: thirty times as many bytes of index in a worker).
+RUN, K1, B, BLOCK, ITEM_CHARS = 10, 1.2, 0.75, 16, 8_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,6 +63,7 @@ class ItemIndex:
             self.runs.append({tuple(r[s:s + run]) for s in starts})
         self.floor = min(self.least, default=math.inf)
         self.top = np.array([max(w) for w in self.weights] + [0.0])  # the last one is for words of no item
+        self.last = [[i[min(len(i), s + BLOCK) - 1] for s in range(0, len(i), BLOCK)] for i in self.items]
         self.block = [[max(w[s:s + BLOCK]) for s in range(0, len(w), BLOCK)] for w in self.weights]
 
     def retrieve(self, terms: list[int]) -> list[int]:
@@ -79,17 +83,13 @@ class ItemIndex:
             while pivot + 1 < len(live) and self.items[live[pivot + 1]][at[live[pivot + 1]]] == item:
                 pivot += 1
             front = live[: pivot + 1]
-            # Block maxima: the block of each list that would hold the pivot item.
+            # Block maxima: the block of each list that would hold the pivot item, found by the last items of the blocks.
             bound, upto = 0.0, end if pivot + 1 == len(live) else self.items[live[pivot + 1]][at[live[pivot + 1]]]
             for t in front:
-                b = at[t] // BLOCK
-                last = self.items[t][min(len(self.items[t]), (b + 1) * BLOCK) - 1]
-                while last < item and (b + 1) * BLOCK < len(self.items[t]):
-                    b += 1
-                    last = self.items[t][min(len(self.items[t]), (b + 1) * BLOCK) - 1]
-                if last >= item:
+                b = bisect_left(self.last[t], item, at[t] // BLOCK)
+                if b < len(self.last[t]):
                     bound += self.block[t][b]
-                    upto = min(upto, last + 1)
+                    upto = min(upto, self.last[t][b] + 1)
             if bound < self.floor:
                 target = max(upto, item + 1)
             elif self.items[live[0]][at[live[0]]] == item:
@@ -98,11 +98,9 @@ class ItemIndex:
                 target = item + 1
             else:
                 target = item
-            for t in front:
-                postings, k = self.items[t], at[t]
-                while k < len(postings) and postings[k] < target:
-                    k += 1
-                at[t] = k
+            for t in front:  # whole blocks are jumped, then one is searched
+                b = bisect_left(self.last[t], target, at[t] // BLOCK)
+                at[t] = bisect_left(self.items[t], target, max(at[t], b * BLOCK), min(len(self.items[t]), (b + 1) * BLOCK))
             live = sorted((t for t in live if at[t] < len(self.items[t])), key=lambda t: self.items[t][at[t]])
         return hits
 
@@ -135,25 +133,19 @@ def leaked(docs: DataFrame, items: DataFrame, run: int = RUN, item_chars: int =
 
     Case, punctuation, white space, line breaks and characters that only look different in code do not matter.
     NULL and empty texts hold nothing; items of fewer words than ``run`` are never held; repeated rows and items
-    count once; empty tables give no rows. The items' index travels with the tasks: items are taken in blocks of at
-    most ``item_chars`` characters, one pass over the documents for each, so its size stays bounded. Documents are
-    not shuffled and are read whole, passage by passage.
+    count once; empty tables give no rows. Items are taken in blocks of at most ``item_chars`` characters, each indexed
+    once and broadcast; the driver holds one block at a time, and if there are several the documents are read once for
+    each. Documents are not shuffled and are read whole, passage by passage.
     """
-    rows = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in rows:
-        if size and size + len(r["text"]) > item_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
+    spark = docs.sparkSession
     d = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in blocks:
+    rows = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator()
 
-        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(block, run)
+    def scan(block: list[tuple[int, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(ItemIndex(block, run))
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value  # read once a worker
             for batch in batches:
                 ids, got = [], []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -162,6 +154,16 @@ def leaked(docs: DataFrame, items: DataFrame, run: int = RUN, item_chars: int =
                         got.append(k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.int64())], ["doc_id", "item_id"])
 
-        part = d.mapInArrow(scan, "doc_id long, item_id long")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+        return d.mapInArrow(look, "doc_id long, item_id long")
+
+    block: list[tuple[int, str]] = []
+    out, size = None, 0
+    for r in rows:
+        if size and size + len(r["text"]) > item_chars:
+            part = cut(scan(block))
+            out = part if out is None else out.unionByName(part)
+            block, size = [], 0
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+    part = scan(block)
+    return (part if out is None else out.unionByName(part)).distinct()

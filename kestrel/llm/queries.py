@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.components import linked_faces
 from kestrel.llm.leakage import leaked
-from kestrel.llm.lookalike import canonical_text, same_look
+from kestrel.llm.lookalike import LOOKALIKES, canonical_text, same_look
 from kestrel.llm.pages import clean_pages, scan_faults
 from kestrel.llm.survivor import records, survivors
 from kestrel.llm.tokens import decode_corpus, encode_corpus
@@ -86,7 +86,18 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_peop
 
 _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
+_ONE = {k: v for k, v in LOOKALIKES.items() if len(v) == 1} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+_WORDS = (
+    "regexp_extract_all(lower(nfc_normalize(replace(replace(replace(replace(replace(translate(regexp_replace(text, '[\\x{ad}\\x{200b}-\\x{200f}\\x{2060}-\\x{2064}\\x{feff}\\x{fe00}-\\x{fe0f}\\x{34f}\\x{61c}\\x{202a}-\\x{202e}]', '', 'g'), "
+    f"'{''.join(_ONE).replace(chr(39), chr(39) * 2)}', '{''.join(_ONE.values()).replace(chr(39), chr(39) * 2)}'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬁ', 'fi'), 'ﬂ', 'fl'))), '[\\p{{L}}\\p{{N}}]+')"
+)
+
 SQL: dict[str, str] = {
+    "p9_found": f"""
+WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+dr AS (SELECT doc_id, array_to_string(w[k:k + 9], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d)),
+ir AS (SELECT item_id, array_to_string(w[k:k + 9], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)""",
     "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": f"""
 WITH f AS (SELECT DISTINCT id, embedding FROM faces WHERE not_person = 0
