@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from kestrel.functions.clean import epoch_micros
 from kestrel.functions.numbers import cell, iou
 from kestrel.functions.paths import basename, extension, filename_date, media_type
-from kestrel.operators import browse, clusters, details, dups, entities, search
+from kestrel.operators import browse, clusters, details, dups, entities, matching, people, search
 from kestrel.operators.spatial import near_places
 from kestrel.operators.timestamps import utc_instants
 from kestrel.plans import snapshots
@@ -170,39 +170,75 @@ def filename_dates(spark, d):
 _RANKED = f"""{_F}, {_D}, dt AS (SELECT file_id, min(best_datetime) AS dt FROM d GROUP BY 1),
 h AS (SELECT *, {_HASH} AS c FROM f), g AS (SELECT c, min(id) AS group_id FROM h WHERE present = 1 AND regexp_matches(c, '^[0-9a-f]{{64}}$') GROUP BY c HAVING count(*) > 1),
 r AS (SELECT h.id, g.group_id, h.size, h.media_type, row_number() OVER w AS rank, first(h.id) OVER w AS canonical_id FROM h JOIN g USING (c) LEFT JOIN dt ON dt.file_id = h.id WHERE present = 1
-      WINDOW w AS (PARTITION BY g.group_id ORDER BY coalesce(h.size, 0) DESC, (dt IS NOT NULL) DESC, dt NULLS LAST, rel_path, h.id)),
+      WINDOW w AS (PARTITION BY g.group_id ORDER BY coalesce(h.size, 0) DESC, (dt.file_id IS NOT NULL) DESC, dt NULLS LAST, rel_path, h.id)),
 gr AS (SELECT group_id, canonical_id, count(*) AS members, coalesce(sum(CASE WHEN rank > 1 THEN greatest(size, 0) END), 0)::bigint AS redundant_bytes, 'exact' AS method FROM r GROUP BY ALL)"""
 
 
-def _ranked(spark, d) -> DataFrame:
+def _candidates(spark, d) -> DataFrame:
     f = _files(spark, d, "id", "rel_path", "size", "media_type", "sha256", "present")
-    return dups.canonical(dups.group_members(f), f, _dates(spark, d))
+    return dups.candidates(f, _dates(spark, d))
+
+
+def _groups(spark, d) -> DataFrame:
+    return dups.groups(_candidates(spark, d)).select("group_id", "canonical_id", "members", "redundant_bytes", "method")
 
 
 @query(f"WITH {_RANKED} SELECT * FROM gr")
 def dup_groups(spark, d):
-    return dups.groups(_ranked(spark, d))
+    return _groups(spark, d)
 
 
 @query(f"WITH {_RANKED} SELECT count(*) AS groups, coalesce(sum(members - 1), 0)::bigint AS copies, coalesce(sum(redundant_bytes), 0)::bigint AS bytes, (SELECT count(*) FROM f WHERE present = 1) - coalesce(sum(members - 1), 0)::bigint AS unique_files FROM gr")
 def dup_summary(spark, d):
-    return dups.summary(dups.groups(_ranked(spark, d)), _files(spark, d, "id", "present"))
+    return dups.summary(_groups(spark, d), _files(spark, d, "id", "present"))
 
 
 @query(f"""WITH {_RANKED} SELECT CASE WHEN grouping(m) = 1 THEN NULL ELSE m END AS match, CASE WHEN grouping(t) = 1 THEN NULL ELSE t END AS media_type, count(*) AS copies, sum(s)::bigint AS bytes
 FROM (SELECT 'identical' AS m, coalesce(media_type, 'other') AS t, greatest(coalesce(size, 0), 0) AS s FROM r WHERE rank > 1) GROUP BY CUBE (m, t)""")
 def dup_breakdown(spark, d):
-    return dups.breakdown(_ranked(spark, d))
+    return dups.breakdown(_candidates(spark, d))
 
 
 @query(f"WITH {_RANKED} SELECT f.id, CASE WHEN r.rank > 1 THEN 1 ELSE 0 END AS hidden FROM f LEFT JOIN r ON r.id = f.id WHERE f.present = 1")
 def dup_hidden_flags(spark, d):
-    return dups.hidden_flags(_files(spark, d, "id", "present"), _ranked(spark, d))
+    c = _candidates(spark, d)
+    return dups.hidden_flags(_files(spark, d, "id", "present"), dups.membership(c, dups.groups(c)))
+
+
+@query(f"WITH {_RANKED} SELECT id, group_id, canonical_id, CASE WHEN rank = 1 THEN 'canonical' ELSE 'identical' END AS match_type FROM r")
+def dup_members(spark, d):
+    c = _candidates(spark, d)
+    return dups.membership(c, dups.groups(c))
 
 
 @query(f"WITH {_RANKED} SELECT * FROM gr ORDER BY redundant_bytes DESC, group_id LIMIT 50")
 def dup_listing(spark, d):
-    return dups.listing(dups.groups(_ranked(spark, d)))
+    return dups.listing(_groups(spark, d))
+
+
+@query(f"WITH {_RANKED} SELECT group_id, members - 1 AS identical, 0::bigint AS visual FROM gr ORDER BY members DESC, group_id LIMIT 500")
+def dup_listing_identical(spark, d):
+    return dups.listing(dups.groups(_candidates(spark, d)), "most", 500, match="identical").select("group_id", "identical", "visual")
+
+
+@query(f"""WITH {_F}, r AS (SELECT root_id, count_if(present = 1 AND id % 3 <> 0) AS n FROM f GROUP BY 1) SELECT greatest(0, (SELECT count(*) FROM f WHERE present = 1) - (SELECT sum(n) FROM r))::bigint AS pending""")
+def dup_pending(spark, d):
+    f = _files(spark, d, "id", "root_id", "present")
+    runs = f.groupBy("root_id").agg(F.count_if((F.col("present") == 1) & (F.col("id") % 3 != 0)).alias("covered_files"))
+    return dups.pending(f, runs)
+
+
+@query(f"""WITH {_F}, {_D}, h AS (SELECT *, {_HASH} AS c, CASE WHEN id % 4 = 0 THEN 0 ELSE (id % 5) * (id % 7) END AS pixels, id % 3 = 0 AS side FROM f),
+r AS (SELECT c, h.id, row_number() OVER (PARTITION BY c ORDER BY pixels DESC, coalesce(h.size, 0) DESC, side DESC, (d.file_id IS NOT NULL) DESC, best_datetime NULLS LAST, rel_path, h.id) AS rank, count(*) OVER (PARTITION BY c) AS n
+      FROM h LEFT JOIN d ON d.file_id = h.id WHERE present = 1 AND regexp_matches(c, '^[0-9a-f]{{64}}$'))
+SELECT c AS content, id AS canonical_id FROM r WHERE rank = 1 AND n > 1""")
+def dup_canonical(spark, d):
+    """All eight parts of the key, with a made-up table of pixels and one of sidecars."""
+    f = _files(spark, d, "id", "rel_path", "size", "media_type", "sha256", "present")
+    i = F.col("id")
+    media = f.where(i % 4 != 0).select(i.alias("file_id"), (i % 5).alias("width"), (i % 7).alias("height"))
+    c = dups.candidates(f, _dates(spark, d), sidecars=f.where(i % 3 == 0).select(i.alias("file_id")), media=media)
+    return dups.groups(c).select(F.col("group").alias("content"), "canonical_id")
 
 
 @query("""
@@ -214,15 +250,17 @@ def near_hashes(spark, d):
     return dups.near_hashes(e.select(base.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("event_id") % 60).cast("int"))).alias("hash")))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+@query("""WITH RECURSIVE w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
 m AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::bigint AS hi, ('0x' || substr(md5(w), 9, 8))::bigint AS lo FROM w),
 v AS (SELECT doc_id, k, sum(CASE WHEN ((CASE WHEN k < 32 THEN lo ELSE hi END) >> (k % 32)::int) & 1 = 1 THEN 1 ELSE -1 END) AS n FROM m, range(64) r(k) GROUP BY ALL),
 s AS (SELECT doc_id, sum(CASE WHEN n <= 0 THEN 0 WHEN k = 63 THEN -9223372036854775808::hugeint ELSE (1::bigint << k::int)::hugeint END)::bigint AS hash FROM v GROUP BY 1),
-h AS (SELECT DISTINCT hash FROM s)
-SELECT x.hash AS a, y.hash AS b, bit_count(xor(x.hash, y.hash))::int AS distance FROM h x JOIN h y ON x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 6""")
+h AS (SELECT hash, min(doc_id) AS first FROM s GROUP BY 1),
+e AS (SELECT x.hash AS a, y.hash AS b FROM h x JOIN h y ON x.hash <> y.hash AND bit_count(xor(x.hash, y.hash)) <= 6),
+r(n, m) AS (SELECT hash, hash FROM h UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a), c AS (SELECT n AS hash, min(h.first) AS class_id FROM r JOIN h ON h.hash = r.m GROUP BY 1)
+SELECT doc_id AS id, class_id, (SELECT count(*) FROM e WHERE e.a = s.hash) AS links FROM s JOIN c USING (hash)""")
 def near_texts(spark, d):
     texts = table(spark, d, "documents", "doc_id", "text").distinct().withColumnRenamed("doc_id", "id")
-    return dups.near_hashes(dups.text_hashes(texts))
+    return dups.hash_classes(dups.text_hashes(texts))
 
 
 # --- Faces, animals, places ---------------------------------------------------------------------------------
@@ -288,6 +326,11 @@ def pets(spark, d):
     return clusters.pets(table(spark, d, "animal_detections", "id", "species", "embedding"), 96)
 
 
+@query()
+def person_rebuild(spark, d):
+    return people.persons(table(spark, d, "faces", "id", "embedding", "quality_tier", "not_person", "manual_person"), table(spark, d, "face_links"))
+
+
 @query(f"""WITH {_PLACES} SELECT id, member_count, CASE WHEN nullif(trim(name), '') IS NULL THEN 1 ELSE 0 END AS unnamed FROM x WHERE member_count >= 3 OR trim(name) <> '' OR pinned = 1""")
 def places_visible(spark, d):
     return entities.visible_places(_rec(spark, d, "place_clusters")).select("id", "member_count", "unnamed")
@@ -302,7 +345,11 @@ _POINTS = "p AS (SELECT DISTINCT id, lat, lon FROM place_clusters WHERE NOT isna
 _NEAR = "2 * 6371000 * asin(sqrt(least(1, sin(radians(y.lat - x.lat) / 2) ** 2 + cos(radians(x.lat)) * cos(radians(y.lat)) * sin(radians(y.lon - x.lon) / 2) ** 2)))"
 
 
-@query(f"""WITH RECURSIVE {_POINTS}, e AS (SELECT x.id AS a, y.id AS b FROM p x JOIN p y ON {_NEAR} <= 5000),
+_CELL = "round_even({0}.lat / (5000 / 111320.0), 0) AS {0}y, round_even({0}.lon / (5000 / (111320.0 * greatest(cos(radians({0}.lat)), 1e-6))), 0) AS {0}x"
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, t AS (SELECT x.id AS a, y.id AS b, {_NEAR} AS m, {_CELL.format('x')}, {_CELL.format('y')} FROM p x, p y),
+e AS (SELECT a, b FROM t WHERE (xy = yy AND xx = yx) OR (abs(xy - yy) <= 1 AND abs(xx - yx) <= 1 AND m <= 5000)),
 r(n, m) AS (SELECT a, b FROM e UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a), g AS (SELECT n, min(m) AS group_id FROM r GROUP BY n)
 SELECT group_id, round(avg(lat), 4) AS lat, round(avg(lon), 4) AS lon, count(*) AS points FROM p JOIN g ON g.n = p.id GROUP BY 1""")
 def place_groups(spark, d):
@@ -531,7 +578,8 @@ SELECT f.id, d.best_datetime, coalesce(a.n, 0)::bigint AS faces, coalesce(b.n, 0
 FROM f LEFT JOIN d ON d.file_id = f.id LEFT JOIN a ON a.file_id = f.id LEFT JOIN b ON b.file_id = f.id LEFT JOIN r ON r.id = f.id""")
 def item_details(spark, d):
     box = ["id", "file_id", "box_x", "box_y", "box_w", "box_h", "det_score"]
-    i = details.item(_files(spark, d, "id"), _dates(spark, d), _rec(spark, d, "faces", *box), _rec(spark, d, "animal_detections", *box), _ranked(spark, d))
+    c = _candidates(spark, d)
+    i = details.item(_files(spark, d, "id"), _dates(spark, d), _rec(spark, d, "faces", *box), _rec(spark, d, "animal_detections", *box), dups.membership(c, dups.groups(c)))
     return i.select("id", "date.best_datetime", F.size("faces").cast("long").alias("faces"), F.size("animals").cast("long").alias("animals"), "group_id", "canonical_id")
 
 

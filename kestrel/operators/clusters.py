@@ -1,8 +1,4 @@
-"""Clustering and constraints that run in order within bounded groups.
-
-Each works on what is left after aggregation (fragment centres, links between entities, detections of one picture), so its
-group is small by nature; the functions are plain and are applied with ``applyInPandas`` per archive, species or file.
-"""
+"""Clusters of animals, and rules inside one picture or video."""
 
 from __future__ import annotations
 
@@ -11,119 +7,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions.numbers import iou, overlap_fraction
+from kestrel.operators.blocks import pack, ties
 from kestrel.operators.graph import components
 from kestrel.session import cut
 
 
-def average_link(cent: np.ndarray, least: float) -> np.ndarray:
-    """UPGMA labels: the closest two clusters merge while their mean distance is under 1 - ``least``."""
-    n = len(cent)
-    unit = cent / np.maximum(np.linalg.norm(cent, axis=1, keepdims=True), 1e-30)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        if not d[i, j] < 1 - least:
-            break
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        row[[i, j]] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def cores(x: np.ndarray, fragments: list[list[int]], first: float = 0.40, second: float = 0.55) -> list[list[int]]:
-    """Fragments merged by their centres, twice."""
-    groups = [sorted(f) for f in fragments if len(f) >= 2]
-    for least in (first, second):
-        if len(groups) > 1:
-            label = average_link(np.stack([x[g].mean(0) for g in groups]), least)
-            groups = [sorted(i for k in np.nonzero(label == m)[0] for i in groups[k]) for m in range(label.max() + 1)]
-    return groups
-
-
-def assign_border(x: np.ndarray, border: list[int], groups: list[list[int]], votes: int = 3, least: float = 0.55, cannot: set[frozenset[int]] = frozenset()) -> dict[int, int]:
-    """Border members to the core whose best ``votes`` members among their nearest are closest on average.
-
-    Ties go to the later core; a core with a member that must not be joined is passed over for the next best.
-    """
-    owner = np.concatenate([np.full(len(g), k) for k, g in enumerate(groups)]) if groups else np.empty(0, int)
-    member = np.concatenate([np.array(g) for g in groups]) if groups else np.empty(0, int)
-    out: dict[int, int] = {}
-    for q in border:
-        if not len(member):
-            break
-        sim = x[member] @ x[q]
-        near = np.argsort(-sim, kind="stable")[: max(votes * 5, 20)]
-        ranked = sorted(((float(np.mean(np.sort(sim[near][owner[near] == k])[::-1][:votes])), int(k)) for k in set(owner[near])), reverse=True)
-        for s, k in ranked:
-            if s < least:
-                break
-            if not any(frozenset((q, int(m))) in cannot for m in groups[k]):
-                out[q] = k
-                break
-    return out
-
-
-def fold_links(links: list[tuple[int, int, str]], cluster: dict[int, int]) -> dict[int, int]:
-    """Clusters joined by "same" answers unless that would join what a "different" answer keeps apart.
-
-    Answers are taken in their order; a join never splits a cluster. Ends without a cluster are ignored.
-    """
-    parent: dict[int, int] = {c: c for c in cluster.values()}
-
-    def top(c: int) -> int:
-        while parent[c] != c:
-            c = parent[c]
-        return c
-
-    apart = [(cluster[a], cluster[b]) for a, b, k in links if k == "different" and a in cluster and b in cluster]
-    for a, b, kind in links:
-        if kind == "same" and a in cluster and b in cluster:
-            x, y = top(cluster[a]), top(cluster[b])
-            if x != y and not any({top(p), top(q)} == {x, y} for p, q in apart):
-                parent[max(x, y)] = min(x, y)
-    return {n: top(c) for n, c in cluster.items()}
-
+def complete_link(x: np.ndarray, least: float = 0.75) -> np.ndarray:
+    """Group of every unit row (G11). Rows come in order; one joins the group of the best mean similarity among those all of whose
+    members are alike, the later of equal ones, or begins a group.
 
-def complete_link(x: np.ndarray, least: float = 0.75) -> list[list[int]]:
-    """Each unit row in order joins the group all of whose members are similar, the one of the best mean, the later of equal ones.
-
-    Means come from the groups' sums, so only groups whose mean is high enough are looked at member by member.
+    Kept for every group and every row to come: the least similarity to its members and their sum, both updated by one
+    product when a member joins.
     """
-    groups: list[list[int]] = []
-    sums, size = np.empty((16, x.shape[1])), np.empty(16)
-    for i in range(len(x)):
-        k = len(groups)
-        mean = np.round(sums[:k] @ x[i] / size[:k], 12)
-        near = np.nonzero(mean >= least - 1e-9)[0]
-        for c in near[np.lexsort((near, mean[near]))[::-1]]:
-            if (x[groups[c]] @ x[i]).min() >= least:
-                groups[c].append(i)
-                sums[c] += x[i]
-                size[c] += 1
-                break
-        else:
-            if k == len(sums):
-                sums, size = np.concatenate([sums, np.empty_like(sums)]), np.concatenate([size, np.empty_like(size)])
-            groups.append([i])
-            sums[k], size[k] = x[i], 1
-    return groups
-
-
-def _tie(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest row of each connected part, after rows ``a`` and ``b`` are tied; ``top`` is that of before."""
-    while True:
-        p, q = top[a], top[b]
-        apart = p != q
-        if not apart.any():
-            return top
-        np.minimum.at(top, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
-        while not np.array_equal(top, up := top[top]):
-            top = up
+    n = len(x)
+    group, heads = np.full(n, -1), 0
+    low, total, size = np.full((16, n), np.inf), np.zeros((16, n)), np.zeros(16)
+    for i in range(n):
+        fits = np.nonzero(low[:heads, i] >= least)[0]
+        mean = np.round(total[fits, i] / size[fits], 12)
+        g = int(fits[len(fits) - 1 - np.argmax(mean[::-1])]) if len(fits) else heads
+        if g == heads:
+            heads += 1
+            if heads > len(size):
+                low, total, size = np.concatenate([low, np.full_like(low, np.inf)]), np.concatenate([total, np.zeros_like(total)]), np.concatenate([size, np.zeros_like(size)])
+        sim = x[i + 1:] @ x[i]
+        low[g, i + 1:] = np.minimum(low[g, i + 1:], sim)
+        total[g, i + 1:] += sim
+        size[g] += 1
+        group[i] = g
+    return group
 
 
 def pets(detections: DataFrame, width: int, least: float = 0.75, members: int = 2, block: int = 8192) -> DataFrame:
@@ -133,44 +46,25 @@ def pets(detections: DataFrame, width: int, least: float = 0.75, members: int =
     is connected. A group never leaves its connected part, so each part takes its detections in order of id on its own;
     ``block`` is the size of a task and no row of the result depends on it. One part is one task, however large.
     """
-    d = detections.where(f"species IS NOT NULL AND species <> 'teddy bear' AND size(embedding) = {width}").select("id", "species", "embedding").dropDuplicates(["id"])
-    n = d.groupBy("species").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
-    rows = d.join(n, "species")
-
-    def usable(pdf: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
-        pdf = pdf.sort_values(order)
-        x = np.stack(pdf.embedding.to_numpy()).astype(float)
-        ok = np.isfinite(x).all(1) & (x != 0).any(1)
-        x = x[ok]
-        return pdf[ok], x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        pdf, x = usable(pdf, ["id"])
-        ids, own, x = pdf.id.to_numpy(), pdf.own.to_numpy(), x.astype(np.float32)
-        a, b, top = np.nonzero(own == i)[0], np.nonzero(own == j)[0], np.arange(len(ids))
-        for s in range(0, len(a), 512):
-            r, c = np.nonzero(x[a[s:s + 512]] @ x[b].T >= least - 1e-4)  # more ties than needed are harmless
-            top = _tie(top, a[s + r], b[c])
-        tied = np.nonzero(top != np.arange(len(ids)))[0]
-        return pd.DataFrame({"a": ids[tied], "b": ids[top[tied]]})
+    v = cut(pack(detections.where("species IS NOT NULL AND species <> 'teddy bear'"), width, "species"))
+    part = components(cut(ties(v, width, least, "species", block))).withColumnRenamed("node", "id")
+    rows = v.join(part, "id", "inner" if members > 1 else "left").withColumn("group_id", F.coalesce("group_id", "id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x = usable(pdf, ["group_id", "id"])
-        ids, group = pdf.id.to_numpy(), pdf.group_id.to_numpy()
-        cuts = [0, *(np.nonzero(group[1:] != group[:-1])[0] + 1), len(ids)]
-        out = [(ids[s + i], ids[s + g[0]]) for s, e in zip(cuts, cuts[1:]) for g in complete_link(x[s:e], least) if len(g) >= members for i in g]
-        return pd.DataFrame(out, columns=["id", "pet_id"])
-
-    two = rows.withColumn("own", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    two = two.select("species", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "embedding")
-    tied = components(cut(two.groupBy("species", "i", "j").applyInPandas(connect, "a long, b long")))
-    if members > 1:
-        rows = rows.join(tied.withColumnRenamed("node", "id"), "id")
-    else:
-        rows = rows.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
-    side = F.pmod(F.xxhash64("group_id"), "parts").alias("side")
-    return rows.groupBy("species", side).applyInPandas(run, "id long, pet_id long")
+        pdf = pdf.sort_values(["group_id", "id"])
+        ids, part = pdf.id.to_numpy(), pdf.group_id.to_numpy()
+        x = np.frombuffer(b"".join(pdf.v), np.float32).reshape(-1, width).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+        cuts, out = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1), len(ids)], []
+        for a, b in zip(cuts, cuts[1:]) if len(ids) else ():
+            _, first, at, n = np.unique(complete_link(x[a:b], least), return_index=True, return_inverse=True, return_counts=True)
+            keep = n[at] >= members
+            out.append(np.stack([ids[a:b][keep], ids[a + first[at]][keep]], 1))
+        r = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"id": r[:, 0], "pet_id": r[:, 1]})
+
+    side = F.pmod(F.xxhash64("group_id"), F.lit(256)).alias("side")
+    return rows.groupBy(side).applyInPandas(run, "id long, pet_id long")
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, most: float = 0.5) -> list[int]:
@@ -201,69 +95,97 @@ def suppressed(detections: DataFrame, most: float = 0.5) -> DataFrame:
     return detections.dropDuplicates(["id"]).na.drop(subset=["box_x", "box_y", "box_w", "box_h"]).groupBy("file_id", "species").applyInPandas(run, "id long")
 
 
-def match_boxes(old: list[tuple[int, tuple]], new: list[tuple[int, tuple]], least: float = 0.5) -> dict[int, int]:
-    """Old to new detections of one frame, one to one, the best overlaps first."""
-    pairs = sorted(((box_iou(a, b), i, j) for i, a in old for j, b in new), key=lambda p: (-p[0], p[1], p[2]))
-    out: dict[int, int] = {}
-    for s, i, j in pairs:
-        if s >= least and i not in out and j not in out.values():
-            out[i] = j
-    return out
+def carry_best(overlap: DataFrame) -> DataFrame:
+    """``(cluster, name)``: each cluster's name of most shared members, the older entity of equal ones."""
+    return overlap.groupBy("cluster").agg(F.max_by("name", F.struct("shared", (-F.col("old_id")).alias("o"))).alias("name"))
+
+
+def collapse(detections: DataFrame, width: int, least: float = 0.75) -> DataFrame:
+    """Ids of a video's detections that stay: in order of quality (then id), those unlike every better one that stayed.
 
+    ``detections(id, file_id, quality, embedding)``; NULL qualities come last, detections without a usable vector stay. A group is
+    one video, whose sampled frames bound it.
+    """
+    v = pack(detections, width, "file_id", "quality")
 
-def rotation(faces: dict[int, int], person: dict[int, float], quorum: int = 3, lead: float = 1.2) -> int:
-    """Quarter turns that a picture needs: most faces upright if there are ``quorum``, else the clearly largest person."""
-    best = max(faces, key=lambda t: (faces[t], -t), default=0)
-    if faces.get(best, 0) >= quorum:
-        return best
-    tall = max(person, key=lambda t: (person[t], -t), default=0)
-    return tall if person.get(tall, 0.0) > lead * person.get(0, 0.0) else 0
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["quality", "id"], ascending=[False, True], na_position="last")
+        x = np.frombuffer(b"".join(pdf.v), np.float32).reshape(-1, width)
+        alike, open_, keep = x @ x.T >= least, np.ones(len(x), bool), []
+        for i in range(len(x)):
+            if open_[i]:
+                keep.append(i)
+                open_ &= ~alike[i]
+        return pdf.iloc[keep][["id"]]
 
+    stay = v.groupBy("file_id").applyInPandas(run, "id long")
+    ids = detections.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id")).distinct()
+    return stay.unionByName(ids.join(v.select("id"), "id", "left_anti"))
 
-def carry_names(overlap: list[tuple[str, int, int]], least: int = 3) -> dict[int, str]:
-    """Names to new clusters, one to one: (name, cluster, shared members), most first, then the later name and cluster."""
-    out: dict[int, str] = {}
-    for name, c, n in sorted(overlap, key=lambda o: (o[2], o[0], o[1]), reverse=True):
-        if n >= least and c not in out and name not in out.values():
-            out[c] = name
-    return out
 
+def rotation(faces: DataFrame, persons: DataFrame, quorum: int = 3, lead: float = 1.2) -> DataFrame:
+    """``(file_id, turns)``: quarter turns that a picture needs (V10): those at which most faces stand upright if they are
+    ``quorum`` or more, else those at which the largest person is clearly (``lead`` times) larger than unturned, else none.
 
-def carry_best(overlap: DataFrame) -> DataFrame:
-    """``(cluster, name)``: each cluster's name of most shared members, the older entity of equal ones."""
-    return overlap.groupBy("cluster").agg(F.max_by("name", F.struct("shared", (-F.col("old_id")).alias("o"))).alias("name"))
+    ``faces(file_id, turns, n)``, ``persons(file_id, turns, area)``; of equal counts the fewest turns.
+    """
+    best = faces.groupBy("file_id").agg(F.max(F.struct("n", (-F.col("turns")).alias("t"))).alias("f"))
+    tall = persons.groupBy("file_id").agg(F.max(F.struct("area", (-F.col("turns")).alias("t"))).alias("p"), F.coalesce(F.max(F.when(F.col("turns") == 0, F.col("area"))), F.lit(0)).alias("flat"))
+    j = best.join(tall, "file_id", "full")
+    return j.select("file_id", F.when(F.col("f.n") >= quorum, -F.col("f.t")).when(F.col("p.area") > lead * F.col("flat"), -F.col("p.t")).otherwise(0).alias("turns"))
+
+
+_SIDES = "xywh"
+
+
+def _boxes(t: str) -> dict:
+    return {k: F.col(f"{t}.box_{k}") for k in _SIDES}
+
+
+def vetoed_faces(faces: DataFrame, animals: DataFrame, persons: DataFrame, least: float = 0.60) -> DataFrame:
+    """``(id, animal_id)``: faces that lie in an animal's box, ``least`` of them or more, and in no person's (J16); the animal of the
+    smallest id. All have ``(id, file_id, box_x, box_y, box_w, box_h)``."""
+    inside = lambda other, name: faces.alias("f").join(other.alias("o"), F.expr("f.file_id = o.file_id")).where(overlap_fraction(_boxes("f"), _boxes("o")) >= least).select(F.col("f.id").alias("id"), F.col("o.id").alias(name))
+    hit = inside(animals, "animal_id").groupBy("id").agg(F.min("animal_id").alias("animal_id"))
+    return hit.join(inside(persons, "person"), "id", "left_anti")
+
+
+def human_animals(animals: DataFrame, persons: DataFrame, least: float = 0.80, outscored: bool = False) -> DataFrame:
+    """Ids of animal boxes that are a person's: an overlap of ``least`` or more, with ``outscored`` only where the person's score is
+    higher (J17)."""
+    j = animals.alias("a").join(persons.alias("p"), F.expr("a.file_id = p.file_id")).where(iou(_boxes("a"), _boxes("p")) >= least)
+    return (j.where("p.det_score > a.det_score") if outscored else j).select(F.col("a.id").alias("id")).distinct()
 
 
-def collapse(rows: list[tuple[int, np.ndarray, float]], least: float = 0.75) -> list[int]:
-    """Of one video's detections, in order, those that are not another view of a kept better one."""
-    keep: list[tuple[int, np.ndarray]] = []
-    for i, v, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
-        if all(float(v @ w) < least for _, w in keep):
-            keep.append((i, v))
-    return sorted(i for i, _ in keep)
+def eligible(species, score, known: dict[str, float], floor: float = 0.5):
+    """Whether a detection counts before suppression: its species' own floor, or the general one (F20); NULL counts as no."""
+    own = F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[species], F.lit(floor))
+    return F.coalesce(score >= own, F.lit(False))
 
 
 def absorb_places(points: list[tuple[int, float, float]], places: list[dict], radius_m: float = 300.0) -> tuple[list[tuple[int, int]], list[dict]]:
     """Points in order of id to the nearest place, whose centre drifts unless pinned; far ones found a new place (T4).
 
-    Returns ``(point, place)`` and the places. Of equally near places the last wins.
+    Returns ``(point, place)`` and the places. Of equally near places the last wins. Distances to all places are one product;
+    the order of points is part of the meaning.
     """
     from kestrel.operators.spatial import haversine
 
-    out, places = [], [dict(p) for p in places]
-    fresh = max((p["id"] for p in places), default=0) + 1
-    for i, lat, lon in sorted(points):
-        d = [(float(haversine(lat, lon, p["lat"], p["lon"])), -k) for k, p in enumerate(places)]
-        best = min(d, default=None)
-        if best and best[0] <= radius_m:
-            p = places[-best[1]]
-            n = p["member_count"]
-            if not p["pinned"]:
-                p["lat"], p["lon"] = (p["lat"] * n + lat) / (n + 1), (p["lon"] * n + lon) / (n + 1)
-            p["member_count"] = n + 1
+    n = len(places)
+    room = n + len(points)
+    col = lambda k, fill: np.array([p[k] for p in places] + [fill] * len(points), dtype=float)
+    ids, lat, lon, count, pinned = (col(k, 0) for k in ("id", "lat", "lon", "member_count", "pinned"))
+    fresh, out = int(ids[:n].max(initial=0)) + 1, []
+    for i, y, x in sorted(points):
+        d = haversine(y, x, lat[:n], lon[:n]) if n else np.empty(0)
+        k = n - 1 - int(np.argmin(d[::-1])) if n else -1
+        if k >= 0 and d[k] <= radius_m:
+            if not pinned[k]:
+                lat[k], lon[k] = (lat[k] * count[k] + y) / (count[k] + 1), (lon[k] * count[k] + x) / (count[k] + 1)
         else:
-            p = {"id": fresh, "lat": lat, "lon": lon, "member_count": 1, "pinned": 0}
-            fresh += 1
-            places.append(p)
-        out.append((i, p["id"]))
-    return out, places
+            k, n = n, n + 1
+            ids[k], lat[k], lon[k], fresh = fresh, y, x, fresh + 1
+        count[k] += 1
+        out.append((i, int(ids[k])))
+    assert n <= room
+    return out, [{"id": int(ids[k]), "lat": float(lat[k]), "lon": float(lon[k]), "member_count": int(count[k]), "pinned": int(pinned[k])} for k in range(n)]

@@ -3,36 +3,60 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kestrel.functions.clean import content_hash
 from kestrel.functions.numbers import hamming
 from kestrel.operators.graph import components
+from kestrel.session import cut
 
 
-def near_hashes(hashes: DataFrame, most: int = 6, bits: int = 64) -> DataFrame:
+def near_hashes(hashes: DataFrame, most: int = 6, bits: int = 64, agree: int | None = None) -> DataFrame:
     """``(a, b, distance)`` of different 64-bit ``hash`` values at most ``most`` bits apart, a < b.
 
-    Exact by pigeonhole: cut into ``most`` + 1 bands of even width, two such hashes agree in a band at least. Every hash is taken
-    once, however many files have it; a pair is kept in the first band in which it agrees. A band shared by more than
-    others is split by adaptive execution.
+    Exact by pigeonhole: cut into ``most + agree`` bands, two such hashes agree in ``agree`` bands at least. Each
+    choice of ``agree`` bands is a key; its bits follow the number of hashes, so that a key is shared by a few of
+    them however many there are (the result does not depend on it). Every hash is taken once, however many files have it; a
+    pair is kept under the first bands in which it agrees.
     """
-    bands = most + 1
-    ends = [bits * k // bands for k in range(bands + 1)]
     h = hashes.select("hash").where("hash IS NOT NULL").distinct()
-    key = lambda c, k: F.shiftrightunsigned(c, ends[k]).bitwiseAND(F.lit((1 << (ends[k + 1] - ends[k])) - 1))
-    b = h.select("hash", F.posexplode(F.array(*[key(F.col("hash"), k) for k in range(bands)])).alias("band", "bits"))
+    if agree is None:
+        n = max(2, h.count())
+        agree = next((a for a in (1, 2, 3) if bits * a / (most + a) >= math.log2(n) - 3), 4)
+    bands = most + agree
+    ends = [bits * k // bands for k in range(bands + 1)]
+    band = lambda c, k: F.shiftrightunsigned(c, ends[k]).bitwiseAND(F.lit((1 << (ends[k + 1] - ends[k])) - 1))
+    choices = list(itertools.combinations(range(bands), agree))
+    keys = F.array(*[F.xxhash64(*[band(F.col("hash"), k) for k in c]) for c in choices])
+    b = h.select("hash", F.posexplode(keys).alias("choice", "key"))
     x, y = b.alias("x"), b.alias("y")
-    j = x.join(y, F.expr("x.band = y.band AND x.bits = y.bits AND x.hash < y.hash")).select(F.col("x.hash").alias("a"), F.col("y.hash").alias("b"), F.col("x.band").alias("band"))
+    j = x.join(y, F.expr("x.choice = y.choice AND x.key = y.key AND x.hash < y.hash")).select(F.col("x.hash").alias("a"), F.col("y.hash").alias("b"), F.col("x.choice").alias("choice"))
     j = j.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= most)
-    first = F.least(*[F.when(key(F.col("a"), k) == key(F.col("b"), k), k) for k in range(bands)])
-    return j.where(F.col("band") == first).select("a", "b", "distance")
+    same = F.filter(F.array(*[F.when(band(F.col("a"), k) == band(F.col("b"), k), k) for k in range(bands)]), lambda v: v.isNotNull())
+    first = F.slice(same, 1, agree)
+    table = F.array(*[F.array(*[F.lit(k) for k in c]) for c in choices])
+    return j.where(F.element_at(table, F.col("choice") + 1) == first).select("a", "b", "distance")
+
+
+def hash_classes(hashes: DataFrame, most: int = 6) -> DataFrame:
+    """``(id, class_id, links)`` of every row of ``hashes(id, hash)``: its class (connected by hashes at most ``most`` bits
+    apart; the smallest id), and to how many other hashes it is that near. A row alone is its own class; NULL hashes give none.
+    """
+    h = hashes.where("hash IS NOT NULL").select("id", "hash").distinct()
+    head = cut(h.groupBy("hash").agg(F.min("id").alias("first")))
+    pairs = cut(near_hashes(head, most))
+    tied = components(pairs.select("a", "b")).withColumnRenamed("node", "hash")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("hash")).groupBy("hash").agg(F.count("*").alias("links"))
+    named = head.join(tied, "hash", "left").join(links, "hash", "left").withColumn("group_id", F.coalesce("group_id", "hash"))
+    least = named.groupBy("group_id").agg(F.min("first").alias("class_id"))
+    return h.join(named.join(least, "group_id").select("hash", "class_id", "links"), "hash").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def text_hashes(texts: DataFrame) -> DataFrame:
@@ -82,32 +106,61 @@ def group_members(files: DataFrame, hashes: DataFrame | None = None, most: int =
     return components(exact.unionByName(star).unionByName(near)).withColumnRenamed("node", "id")
 
 
-def canonical(members: DataFrame, files: DataFrame, dates: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Members with their group's canonical copy and their own rank.
+def candidates(files: DataFrame, dates: DataFrame, members: DataFrame | None = None, sidecars: DataFrame | None = None, media: DataFrame | None = None) -> DataFrame:
+    """``(group, id, content, media_type, bytes, key)`` of the present files that belong to a group.
 
-    Most pixels (``sizes(id, pixels)``, if given), then the largest file, then a dated one, then the earliest date,
-    then path and id. Returns ``(id, group_id, canonical_id, rank, size, media_type, content)``.
+    The group is the content, or that of ``members(id, group_id)``. ``key`` orders the members of a group from the best
+    (W6): most pixels (``media(file_id, width, height)``), largest, with a sidecar (``sidecars(file_id)``), with a date
+    record, with a date, the earliest date, then path and id. Missing tables and values count as none.
     """
-    d = dates.where("file_id IS NOT NULL").groupBy(F.col("file_id").alias("id")).agg(F.min("best_datetime").alias("dt"))
-    m = members.join(files.select("id", "rel_path", "size", "media_type", content_hash("sha256").alias("content")).dropDuplicates(["id"]), "id").join(d, "id", "left")
-    m = m.join(sizes, "id", "left") if sizes is not None else m.withColumn("pixels", F.lit(0))
-    order = [F.desc(F.coalesce("pixels", F.lit(0))), F.desc(F.coalesce("size", F.lit(0))), F.desc(F.col("dt").isNotNull()), F.asc_nulls_last("dt"), F.asc("rel_path"), F.asc("id")]
-    w = Window.partitionBy("group_id").orderBy(*order)
-    ranked = m.withColumn("rank", F.row_number().over(w))
-    return ranked.withColumn("canonical_id", F.first("id").over(w)).select("id", "group_id", "canonical_id", "rank", "size", "media_type", "content")
-
-
-def groups(ranked: DataFrame) -> DataFrame:
-    """One row per group: members, bytes of the other copies, and whether all have one content."""
-    return ranked.groupBy("group_id", "canonical_id").agg(
-        F.count("*").alias("members"), F.coalesce(F.sum(F.when(F.col("id") != F.col("canonical_id"), F.greatest(F.col("size"), F.lit(0)))), F.lit(0)).alias("redundant_bytes"),
-        F.when((F.min("content") == F.max("content")) & (F.count("content") == F.count("*")), "exact").otherwise("perceptual").alias("method"),
+    f = files.where("present = 1").select("id", "rel_path", "size", "media_type", content_hash("sha256").alias("content"))
+    d = dates.where("file_id IS NOT NULL").groupBy(F.col("file_id").alias("id")).agg(F.min("best_datetime").alias("dt"), F.lit(True).alias("dated"))
+    f = f.join(d, "id", "left")
+    f = f.join(sidecars.select(F.col("file_id").alias("id"), F.lit(True).alias("side")).distinct(), "id", "left") if sidecars is not None else f.withColumn("side", F.lit(False))
+    if media is not None:
+        f = f.join(media.groupBy(F.col("file_id").alias("id")).agg(F.max(F.coalesce("width", F.lit(0)) * F.coalesce("height", F.lit(0))).alias("pixels")), "id", "left")
+    else:
+        f = f.withColumn("pixels", F.lit(0))
+    f = f.join(members.select("id", "group_id"), "id").withColumn("group", F.col("group_id").cast("string")) if members is not None else f.where("content IS NOT NULL").withColumn("group", F.col("content"))
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    key = F.struct(
+        (-F.coalesce("pixels", F.lit(0))).cast("long").alias("pixels"), (-F.coalesce("size", F.lit(0))).cast("long").alias("size"), no("side").alias("side"), no("dated").alias("dated"),
+        F.col("dt").isNull().alias("undated"), F.coalesce("dt", F.lit("")).alias("dt"), F.col("rel_path").alias("path"), F.col("id").alias("id"),
     )
+    return f.select("group", "id", "content", "media_type", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("bytes"), key.alias("key"))
+
+
+def _parts(c: DataFrame) -> DataFrame:
+    """Groups folded to their contents and media types: partial sums before the shuffle, so no group is ever together."""
+    return c.groupBy("group", "content", "media_type").agg(F.min("key").alias("key"), F.min("id").alias("lo"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def groups(c: DataFrame) -> DataFrame:
+    """One row per group of two or more candidates: ``(group, group_id, canonical_id, canonical_content, members,
+    redundant_bytes, identical, visual, method)`` (G2, A25). ``identical`` and ``visual`` count the copies that have the
+    canonical's content and those that don't. One scan, one aggregation in two steps, no window."""
+    p = _parts(c).groupBy("group", "content").agg(F.min("key").alias("key"), F.min("lo").alias("lo"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    g = p.groupBy("group").agg(
+        F.min("key").alias("key"), F.min_by("content", "key").alias("canonical_content"), F.min_by("n", "key").alias("same"), F.min("lo").alias("group_id"), F.sum("n").alias("members"), F.sum("bytes").alias("bytes"),
+        (F.count("*") == 1).alias("one"),
+    ).where("members > 1")
+    identical = F.when(F.col("canonical_content").isNotNull(), F.col("same") - 1).otherwise(0)
+    return g.select(
+        "group", "group_id", F.col("key.id").alias("canonical_id"), "canonical_content", "members", (F.col("bytes") - F.greatest(-F.col("key.size"), F.lit(0))).alias("redundant_bytes"),
+        identical.alias("identical"), (F.col("members") - 1 - identical).alias("visual"), F.when(F.col("one") & F.col("canonical_content").isNotNull(), "exact").otherwise("perceptual").alias("method"),
+    )
+
+
+def membership(c: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``(id, group_id, canonical_id, match_type)`` of every member: canonical, identical or visual."""
+    g = grouped.select("group", "group_id", "canonical_id", "canonical_content")
+    kind = F.when(F.col("id") == F.col("canonical_id"), "canonical").when(F.col("content") == F.col("canonical_content"), "identical").otherwise("visual")
+    return c.select("group", "id", "content").join(g, "group").select("id", "group_id", "canonical_id", kind.alias("match_type"))
 
 
-def hidden_flags(files: DataFrame, ranked: DataFrame) -> DataFrame:
+def hidden_flags(files: DataFrame, members: DataFrame) -> DataFrame:
     """``(id, hidden)`` of every present file: 1 for the copies behind a canonical one."""
-    copies = ranked.where("rank > 1").select("id", F.lit(1).alias("behind"))
+    copies = members.where("match_type <> 'canonical'").select("id", F.lit(1).alias("behind"))
     return files.where("present = 1").select("id").distinct().join(copies, "id", "left").select("id", F.coalesce("behind", F.lit(0)).alias("hidden"))
 
 
@@ -118,18 +171,32 @@ def summary(grouped: DataFrame, files: DataFrame) -> DataFrame:
     return g.crossJoin(n).select("groups", "copies", "bytes", (F.col("files") - F.col("copies")).alias("unique_files"))  # one row each
 
 
-def breakdown(ranked: DataFrame) -> DataFrame:
+def breakdown(c: DataFrame) -> DataFrame:
     """Copies and bytes by match and media type, and rolled up to each (A8). NULL media types are other."""
-    canon = ranked.where("rank = 1").select("group_id", F.col("content").alias("canonical_content"))
-    m = ranked.where("rank > 1").join(canon, "group_id")
-    m = m.select(F.when(F.col("content") == F.col("canonical_content"), "identical").otherwise("visual").alias("match"), F.coalesce("media_type", F.lit("other")).alias("media_type"), F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).alias("size"))
-    return m.cube("match", "media_type").agg(F.count("*").alias("copies"), F.sum("size").alias("bytes"))
+    p = cut(_parts(c))
+    g = p.groupBy("group").agg(F.min("key").alias("best"), F.min_by("content", "key").alias("canonical_content"), F.sum("n").alias("members")).where("members > 1")
+    own = (F.col("key") == F.col("best")).cast("long")  # the canonical is in this part
+    m = p.join(g, "group").select(
+        F.when(F.col("content") == F.col("canonical_content"), "identical").otherwise("visual").alias("match"), F.coalesce("media_type", F.lit("other")).alias("media_type"),
+        (F.col("n") - own).alias("n"), (F.col("bytes") - own * F.greatest(-F.col("best.size"), F.lit(0))).alias("bytes"),
+    ).where("n > 0")
+    return m.cube("match", "media_type").agg(F.sum("n").alias("copies"), F.sum("bytes").alias("bytes"))
+
+
+def pending(files: DataFrame, runs: DataFrame, root: int | None = None) -> DataFrame:
+    """``(pending)``: present files that the last runs (``runs(root_id, covered_files)``) have not covered, 0 at least."""
+    f, r = (files, runs) if root is None else (files.where(F.col("root_id") == root), runs.where(F.col("root_id") == root))
+    n, m = f.where("present = 1").agg(F.count("*").alias("n")), r.agg(F.coalesce(F.sum("covered_files"), F.lit(0)).alias("m"))
+    return n.crossJoin(m).select(F.greatest(F.lit(0), F.col("n") - F.col("m")).alias("pending"))  # one row each
 
 
 LISTINGS = {"bytes": ["-redundant_bytes", "group_id"], "most": ["-members", "group_id"], "fewest": ["members", "group_id"]}
 
 
-def listing(grouped: DataFrame, sort: str = "bytes", limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of groups in one of three orders, the group last."""
+def listing(grouped: DataFrame, sort: str = "bytes", limit: int = 50, offset: int = 0, match: str | None = None) -> DataFrame:
+    """A page of groups in one of three orders, the group last (O5); with ``match`` (identical or visual) only groups that hold
+    such a copy (F17)."""
+    if match:
+        grouped = grouped.where(F.col(match) > 0)
     order = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in LISTINGS[sort]]
     return grouped.orderBy(*order).offset(offset).limit(limit)

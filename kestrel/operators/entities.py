@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kestrel.functions.clean import label
-from kestrel.functions.numbers import haversine, quality_score, tier
+from kestrel.functions.numbers import cell, haversine, quality_score, tier
 from kestrel.operators.browse import named_first
 from kestrel.operators.graph import components
-from kestrel.operators.spatial import near_pairs
 
 
 def good_face(faces: DataFrame) -> DataFrame:
@@ -71,15 +70,28 @@ def below_threshold(places: DataFrame, least: int = 3) -> DataFrame:
     return places.where(~shown).agg(F.count("*").alias("places"), F.coalesce(F.sum("member_count"), F.lit(0)).alias("members"))
 
 
-def place_groups(points: DataFrame, radius_m: float = 300.0) -> DataFrame:
-    """``(group_id, lat, lon, points)``: single linkage of points within a distance, centre and size of each.
+def place_cells(points: DataFrame, radius_m: float = 300.0) -> DataFrame:
+    """``(id, lat, lon, group_id)``: points in one grid cell of the radius belong together, and so do two neighbouring cells
+    of which two points are within the radius (J11, G3). ``group_id`` is the smallest id; points alone are their own group.
 
-    Points alone are groups of their own. See ``spatial.near_pairs`` for what is left out.
+    Work is by cells: equal points are compared once, and what comes out of the comparison of two cells is one row, by
+    partial aggregation, however many points they hold. Repeated rows are one point; NULL coordinates are left out.
     """
-    pairs = near_pairs(points, radius_m)
-    tied = components(pairs.select("a", "b"))
-    p = points.join(tied.select(F.col("node").alias("id"), "group_id"), "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
-    return p.groupBy("group_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("points"))
+    p = points.where("id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").dropDuplicates(["id"]).select("id", "lat", "lon", cell(F.col("lat"), F.col("lon"), radius_m).alias("c"))
+    first = p.groupBy("c").agg(F.min("id").alias("first"))
+    spot = p.select("lat", "lon", "c").distinct()
+    steps = F.array(*[F.struct(F.lit(dy).cast("long").alias("y"), F.lit(dx).cast("long").alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) > (0, 0)])
+    a = spot.select("lat", "lon", "c", F.explode(steps).alias("s")).select("lat", "lon", F.col("c").alias("a"), F.struct((F.col("c.y") + F.col("s.y")).alias("y"), (F.col("c.x") + F.col("s.x")).alias("x")).alias("b"))
+    near = a.join(spot.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.col("c").alias("b")), "b").where(haversine(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon")) <= radius_m)
+    edges = near.select("a", "b").distinct()
+    named = edges.join(first.select(F.col("c").alias("a"), F.col("first").alias("i")), "a").join(first.select(F.col("c").alias("b"), F.col("first").alias("j")), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    tied = components(named).withColumnRenamed("node", "first")
+    return p.join(first.join(tied, "first", "left").select("c", F.coalesce("group_id", "first").alias("group_id")), "c").select("id", "lat", "lon", "group_id")
+
+
+def place_groups(points: DataFrame, radius_m: float = 300.0) -> DataFrame:
+    """``(group_id, lat, lon, points)``: centre and size of each group of ``place_cells``."""
+    return place_cells(points, radius_m).groupBy("group_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("points"))
 
 
 def nearest_place(points: DataFrame, places: DataFrame, radius_m: float = 300.0, others: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from kestrel.functions.numbers import dot, norm
+from kestrel.operators.blocks import nearest_of, pack, self_nearest
 
 #: Constants of BM25 and least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -92,34 +94,18 @@ def centroid_pairs(cents: DataFrame, by: str, answered: DataFrame | None = None,
     return pairs.join(answered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti") if answered is not None else pairs
 
 
-def exact_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.75, block: int = 4096) -> DataFrame:
-    """``(a, b, score)``: the ``k`` nearest of every vector by block products (V4, V5).
+def exact_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.75, block: int = 8192) -> DataFrame:
+    """``(a, b, score)``: the ``k`` nearest of every vector by block products (V4); see ``blocks``."""
+    width = vectors.where("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first()
+    if width is None:
+        return vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(0.0).alias("score")).where("false")
+    v = pack(vectors.select(F.col("vec_id").alias("id"), "embedding"), width["n"])
+    return self_nearest(v, width["n"], k, least, block).select(F.col("q").alias("a"), F.col("id").alias("b"), "score")
 
-    Every pair of blocks is one task and gives at most ``k`` rows a vector. Meant for up to some hundred thousand vectors.
-    """
-    n = max(1, -(-vectors.count() // block))
-    v = vectors.select("vec_id", "embedding").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
-    sides = v.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    rows = sides.select(F.col("own").alias("q"), F.col("other").alias("m"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    rows = rows.unionByName(sides.select(F.col("other").alias("q"), F.col("own").alias("m"), F.lit(False).alias("asks"), "vec_id", "embedding"))
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        unit = lambda d: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30))(np.stack(d.embedding.to_numpy()).astype(float))
-        a, b = pdf[pdf.asks].sort_values("vec_id"), pdf[~pdf.asks].sort_values("vec_id")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        s = unit(a) @ unit(b).T
-        s[a.vec_id.to_numpy()[:, None] == b.vec_id.to_numpy()] = -2
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        got = np.take_along_axis(s, top, 1)
-        r, c = np.nonzero(got >= least)
-        return pd.DataFrame({"a": a.vec_id.to_numpy()[r], "b": b.vec_id.to_numpy()[top[r, c]], "score": got[r, c]})
 
-    got = rows.groupBy("q", "m").applyInPandas(part, "a long, b long, score double")
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return got.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+def nearest_members(queries: DataFrame, members: DataFrame, width: int, k: int, least: float = -1.0) -> DataFrame:
+    """``(q, id, score)``: of ``members(id, embedding)`` the ``k`` nearest to every one of ``queries(id, embedding)``."""
+    return nearest_of(pack(queries, width), pack(members, width), width, k, least)
 
 
 def mutual(neighbours: DataFrame) -> DataFrame:
@@ -217,47 +203,42 @@ _LEAST = 0.75
 PASSAGE = T.ArrayType(T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("page_first", T.IntegerType()), T.StructField("page_last", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
+def _boundaries(text: str) -> list[list[int]]:
+    """Where a passage may end, sorted, for each kind of end."""
+    return [[m.end() for m in kind.finditer(text)] for kind in _ENDS]
+
+
+def _between(ends: list[int], low: int, high: int, last: bool) -> int | None:
+    """The last (or first) of the sorted ``ends`` over ``low``, up to ``high``."""
+    i, j = bisect.bisect_right(ends, low), bisect.bisect_right(ends, high)
+    return None if i == j else ends[j - 1 if last else i]
+
+
 def passages(blocks: list[tuple[int | None, str]], target: int = 1200, overlap: int = 200, cap: int = 1500) -> list[tuple[int, int | None, int | None, str]]:
     """(ordinal, first page, last page, text) of the overlapping passages of a file's (page, text) blocks.
 
     A passage ends at the last paragraph end that leaves it between three quarters of ``target`` and ``target``
-    characters, or at the first one after under ``cap``; failing that at a sentence, then any white space, then at the
-    cap. The next one begins ``overlap`` characters back, at a word.
+    characters, or at the first one after up to ``cap``; failing that at a sentence, then any white space, then at the
+    cap. The next one begins ``overlap`` characters back, at a word. All ends are found once; each passage is a few
+    searches among them.
     """
     kept = [(p, t) for p, t in blocks if t and t.strip()]
     text = "\n\n".join(t for _, t in kept)
-    begins, at = [], 0
-    for _, t in kept:
-        begins.append(at)
-        at += len(t) + 2
-
-    def end_of(begin: int) -> int:
-        if len(text) - begin <= cap:
-            return len(text)
-        for kind in _ENDS:
-            inside, beyond = None, None
-            for m in kind.finditer(text, begin, begin + cap):
-                size = m.end() - begin
-                if int(target * _LEAST) < size <= target:
-                    inside = m.end()
-                elif size > target and beyond is None:
-                    beyond = m.end()
-            if inside or beyond:
-                return inside or beyond
-        return begin + cap
-
-    out, begin = [], 0
-    while begin < len(text):
-        end = end_of(begin)
-        body = text[begin:end].strip()
-        if body:
-            span = [p for p, _ in kept[max(0, bisect.bisect_right(begins, begin) - 1):max(1, bisect.bisect_left(begins, end))] if p is not None]
-            out.append((len(out), min(span, default=None), max(span, default=None), body))
-        if end >= len(text):
+    first = list(itertools.accumulate((len(t) + 2 for _, t in kept), initial=0))
+    kinds, size, begin, out = _boundaries(text), len(text), 0, []
+    blanks = [m.start() for m in re.finditer(" ", text)]
+    while begin < size:
+        end = size
+        if size - begin > cap:
+            tries = (_between(e, begin + low, begin + high, last) for e in kinds for low, high, last in ((int(target * _LEAST), target, True), (target, cap, False)))
+            end = next((e for e in tries if e), begin + cap)
+        if body := text[begin:end].strip():
+            pages = [kept[k][0] for k in range(bisect.bisect_right(first, begin) - 1, bisect.bisect_left(first, end, 0, len(kept))) if kept[k][0] is not None]
+            out.append((len(out), min(pages, default=None), max(pages, default=None), body))
+        if end == size:
             break
-        back = max(end - overlap, begin + 1)
-        space = text.find(" ", back, end)
-        begin = space + 1 if space >= 0 else end
+        word = _between(blanks, max(end - overlap, begin + 1) - 1, end - 1, False)
+        begin = end if word is None else word + 1
     return out
 
 

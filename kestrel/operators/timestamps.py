@@ -66,8 +66,24 @@ def zone_version() -> str:
     return "system"
 
 
-@lru_cache(maxsize=None)
+#: Tables that a task was given, by zone name.
+_GIVEN: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+
+
+def use_tables(version: str, tables: dict[str, tuple[np.ndarray, np.ndarray] | None]) -> None:
+    """Take ready tables; machines with other zone rules than those they were made from are refused."""
+    if zone_version() != version:
+        raise RuntimeError(f"zone rules {zone_version()} here, {version} where the tables were made")
+    _GIVEN.update(tables)
+
+
 def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The zone's table, as given to the task or else made here."""
+    return _GIVEN[name] if name in _GIVEN else make_table(name)
+
+
+@lru_cache(maxsize=None)
+def make_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     """(UTC seconds at which an offset begins, offsets in seconds) from 1900 to 2100; None for an unknown zone."""
     try:
         z = zoneinfo.ZoneInfo(name)
@@ -238,11 +254,19 @@ def instants(texts: list[str | None], own_utc: np.ndarray, zones: list[str | Non
     return out
 
 
-@F.pandas_udf(T.LongType())
-def instant_ms(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for text, own_utc, zone in batches:
-        v = instants([t if isinstance(t, str) else None for t in text], own_utc.to_numpy(dtype=bool), [z if isinstance(z, str) else None for z in zone])
-        yield pd.Series(pd.arrays.IntegerArray(v, v == -(1 << 62)))
+def parser(zones: list[str]):
+    """A vectorised function of (text, whether zoneless ones are UTC, zone) to milliseconds. The tables of ``zones`` are made
+    once, here, and travel with the function together with the version of the rules."""
+    version, tables = zone_version(), {z: make_table(z) for z in zones}
+
+    @F.pandas_udf(T.LongType())
+    def instant_ms(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        use_tables(version, tables)
+        for text, own_utc, zone in batches:
+            v = instants([t if isinstance(t, str) else None for t in text], own_utc.to_numpy(dtype=bool), [z if isinstance(z, str) else None for z in zone])
+            yield pd.Series(pd.arrays.IntegerArray(v, v == -(1 << 62)))
+
+    return instant_ms
 
 
 def utc_instants(dates: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
@@ -264,6 +288,8 @@ def utc_instants(dates: DataFrame, files: DataFrame, roots: DataFrame) -> DataFr
     j = d.join(f, "file_id", "left").select("file_id", F.col("d.best_datetime").alias("text"), F.coalesce(source, F.lit("")).alias("source"), F.col("f.root_id").alias("root_id"), F.col("f.mtime").alias("mtime"))
     j = j.join(z, "root_id", "left")
     blank = F.col("text").isNull() | (F.regexp_replace("text", r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]+", "") == "")
-    parsed = instant_ms(F.when(~blank, F.col("text")), F.col("source") == "takeout_json", "zone_name")
+    known = zoneinfo.available_timezones()  # bounds the names that are brought here
+    names = [r["zone_name"] for r in z.where(F.col("zone_name").isin(sorted(known))).select("zone_name").distinct().collect()]
+    parsed = parser(names)(F.when(~blank, F.col("text")), F.col("source") == "takeout_json", "zone_name")
     fallback = F.when(F.col("source") == "mtime", F.floor(epoch_micros("mtime") / 1000).cast("long"))
     return j.select("file_id", F.when(blank, fallback).otherwise(parsed).alias("utc_ms")).where("utc_ms IS NOT NULL")

@@ -29,10 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is configured (tests, one machine) a temporary one."""
+    """The cluster's checkpoint folder. Only on one machine (tests) a temporary one stands in where none is configured."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kestrel-cp-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="kestrel-cp-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

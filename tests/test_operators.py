@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kestrel.operators import browse, clusters, dups, entities, graph, search
+from kestrel.operators import blocks, browse, clusters, dups, entities, graph, matching, people, search
 from kestrel.plans import edits, snapshots
 
 FILE = "id long, root_id long, rel_path string, ext string, size long, mtime double, media_type string, fast_hash string, sha256 string, first_seen string, last_seen string, present long, hidden long"
@@ -47,17 +47,26 @@ def test_components_against_brute_force(spark, rows):
 
 def test_groups_and_figures(spark, rows, files, dates):
     f = browse.records(files)
-    ranked = dups.canonical(dups.group_members(f), f, dates)
-    assert rows(ranked.select("id", "group_id", "canonical_id", "rank")) == {(2, 1, 2, 1), (1, 1, 2, 2), (4, 4, 4, 1), (5, 4, 4, 2)}
-    g = dups.groups(ranked)
-    assert rows(g.select("group_id", "members", "redundant_bytes", "method")) == {(1, 2, 10, "exact"), (4, 2, 0, "exact")}
+    c = dups.candidates(f, dates)
+    g = dups.groups(c)
+    m = dups.membership(c, g)
+    assert rows(m) == {(2, 1, 2, "canonical"), (1, 1, 2, "identical"), (4, 4, 4, "canonical"), (5, 4, 4, "identical")}
+    assert rows(g.select("group_id", "members", "redundant_bytes", "method", "identical", "visual")) == {(1, 2, 10, "exact", 1, 0), (4, 2, 0, "exact", 1, 0)}
     s = dups.summary(g, f).first().asDict()
     assert s == {"groups": 2, "copies": 2, "bytes": 10, "unique_files": 4}
-    assert rows(dups.hidden_flags(f, ranked)) == {(1, 1), (2, 0), (4, 0), (5, 1), (6, 0), (7, 0)}
-    parts = dups.breakdown(ranked).where("match IS NOT NULL AND media_type IS NOT NULL").agg(F.sum("copies"), F.sum("bytes")).first()
+    assert rows(dups.hidden_flags(f, m)) == {(1, 1), (2, 0), (4, 0), (5, 1), (6, 0), (7, 0)}
+    parts = dups.breakdown(c).where("match IS NOT NULL AND media_type IS NOT NULL").agg(F.sum("copies"), F.sum("bytes")).first()
     assert tuple(parts) == (s["copies"], s["bytes"])
     empty = f.limit(0)
-    assert dups.groups(dups.canonical(dups.group_members(empty), empty, dates)).count() == 0
+    assert dups.groups(dups.candidates(empty, dates)).count() == 0
+    # Near hashes tie 6 to the first content: its copies are identical or only look alike.
+    hashes = spark.createDataFrame([(1, 0), (6, 1), (7, None)], "id long, hash long")
+    c = dups.candidates(f, dates, members=dups.group_members(f, hashes))
+    g = dups.groups(c)
+    assert rows(g.select("group_id", "canonical_id", "members", "identical", "visual", "method")) == {(1, 2, 3, 1, 1, "perceptual"), (4, 4, 2, 1, 0, "exact")}
+    assert rows(dups.membership(c, g).where("match_type = 'visual'").select("id")) == {(6,)}
+    assert [r.group_id for r in dups.listing(g, match="visual").collect()] == [1]
+    assert rows(dups.breakdown(c).where("media_type = 'image'").select("match", "copies")) == {("identical", 2), ("visual", 1), (None, 3)}
 
 
 def test_near_hashes(spark, rows):
@@ -85,7 +94,13 @@ def test_near_texts_take_every_document(spark, rows):
     assert rows(dups.text_hashes(texts)) == set(docs.items())
     hs = sorted({h for h in docs.values() if h is not None})
     want = {(a, b, n) for i, a in enumerate(hs) for b in hs[i + 1:] if (n := ((a ^ b) & (2**64 - 1)).bit_count()) <= 6}
-    assert len(hs) > 900 and rows(catalog.QUERIES["near_texts"](spark, d)) == want
+    assert len(hs) > 900 and rows(dups.near_hashes(dups.text_hashes(texts))) == want
+    links = {h: sum(h in w[:2] for w in want) for h in hs}
+    got = catalog.QUERIES["near_texts"](spark, d).collect()
+    assert {(r.id, r.links) for r in got} == {(i, links[h]) for i, h in docs.items() if h is not None}
+    of = {r.id: r.class_id for r in got}
+    by_hash = {h: i for i, h in docs.items()}
+    assert all(of[by_hash[a]] == of[by_hash[b]] for a, b, _ in want)
 
 
 def test_visual_groups(spark, rows, files, dates):
@@ -160,20 +175,97 @@ def test_bm25_and_snippets(spark):
     assert {r.file_id: r.transcript for r in search.transcript(c).collect()}[1] == "Una cámara vieja\n\ncámara cámara"
 
 
-def test_clusters():
+def test_rules_in_one_picture(spark, rows):
     x = np.array([[1.0, 0], [0.99, 0.14], [0, 1], [0.1, 0.995], [0.7, 0.71]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    assert clusters.complete_link(x[:4], 0.9) == [[0, 1], [2, 3]]
-    assert clusters.cores(x, [[0, 1], [2, 3]]) == [[0, 1], [2, 3]]
-    assert clusters.assign_border(x, [4], [[0, 1], [2, 3]], votes=2) == {4: 1 if x[4] @ (x[2] + x[3]) > x[4] @ (x[0] + x[1]) else 0}
-    assert 4 not in clusters.assign_border(x, [4], [[0, 1], [2, 3]], cannot={frozenset((4, 0)), frozenset((4, 2))})
-    assert clusters.fold_links([(1, 2, "same"), (2, 3, "same")], {1: 1, 2: 2, 3: 3}) == {1: 1, 2: 1, 3: 1}
-    assert clusters.fold_links([(1, 2, "same"), (2, 3, "same"), (1, 3, "different")], {1: 1, 2: 2, 3: 3}) == {1: 1, 2: 1, 3: 3}
+    assert clusters.complete_link(x[:4], 0.9).tolist() == [0, 0, 1, 1] and people.average_link(x[:4], 0.9).tolist() == [0, 0, 2, 2]
     assert clusters.suppress(np.array([[0, 0, 10, 10], [1, 0, 10, 10], [50, 50, 5, 5.0]]), np.array([0.8, 0.9, 0.1])) == [1, 2]
-    assert clusters.match_boxes([(1, (0, 0, 10, 10))], [(7, (1, 0, 10, 10)), (8, (0, 0, 10, 10))]) == {1: 8}
-    assert clusters.rotation({0: 1, 1: 3}, {}) == 1 and clusters.rotation({0: 1}, {2: 9.0, 0: 5.0}) == 2 and clusters.rotation({}, {}) == 0
-    assert clusters.carry_names([("a", 1, 5), ("b", 1, 4), ("a", 2, 3), ("b", 2, 2)]) == {1: "a"}
-    assert clusters.collapse([(1, x[0], 0.5), (2, x[1], 0.9), (3, x[2], 0.1)]) == [2, 3]
+    v = spark.createDataFrame([(i, 1, q, [float(z) for z in x[k]]) for i, q, k in ((1, 0.5, 0), (2, 0.9, 1), (3, None, 2))] + [(4, 1, 0.1, None), (5, 2, 0.1, [1.0, 0.0])], "id long, file_id long, quality double, embedding array<double>")
+    assert rows(clusters.collapse(v, 2)) == {(2,), (3,), (4,), (5,)}
+    f = spark.createDataFrame([(1, 0, 1), (1, 1, 3), (2, 0, 1)], "file_id long, turns int, n int")
+    p = spark.createDataFrame([(2, 0, 5.0), (2, 2, 9.0), (3, 0, 5.0), (3, 1, 5.5)], "file_id long, turns int, area double")
+    assert rows(clusters.rotation(f, p)) == {(1, 1), (2, 2), (3, 0)}
+
+
+B = "id long, file_id long, frame_offset double, box_x long, box_y long, box_w long, box_h long"
+
+
+def test_boxes_found_again(spark, rows):
+    old = spark.createDataFrame([(1, 1, None, 0, 0, 10, 10), (2, 1, None, 1, 0, 10, 10), (3, 1, 2.0, 0, 0, 10, 10), (4, 2, None, 0, 0, None, 10)], B)
+    new = spark.createDataFrame([(7, 1, None, 1, 0, 10, 10), (8, 1, None, 0, 0, 10, 10), (9, 1, 2.0, 2, 0, 10, 10), (10, 2, None, 0, 0, 9, 10)], B)
+    assert rows(matching.found_again(old, new).select("old_id", "new_id")) == {(1, 8), (2, 7), (3, 9)}
+    got = matching.migrate(old.withColumn("name", F.concat(F.lit("n"), "id")), new.withColumn("name", F.lit(None).cast("string")), ["name"])
+    assert rows(got.select("id", "name")) == {(7, "n2"), (8, "n1"), (9, "n3"), (10, None)}
+    assert matching.found_again(old.limit(0), new).count() == 0
+
+
+def test_matching_equals_taking_pairs_in_order(spark, rows):
+    rng = np.random.default_rng(3)
+    pairs = {(int(a), int(b)): int(w) for a, b, w in zip(rng.integers(0, 15, 90), rng.integers(0, 15, 90), rng.integers(0, 9, 90))}
+    want, left, right = set(), set(), set()
+    for w, a, b in sorted(((w, a, b) for (a, b), w in pairs.items()), reverse=True):
+        if a not in left and b not in right:
+            want.add((a, b))
+            left.add(a)
+            right.add(b)
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a long, b long, w int")
+    assert rows(matching.matched(df, "a", "b", F.struct("w", "a", "b")).select("a", "b")) == want
+
+
+def test_nearest_blocks_agree(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((70, 6))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    v = blocks.pack(df, 6)
+    q, m = v.where("id < 20"), v.where("id >= 20")
+    want = {(i, int(j) + 20) for i in range(20) for j in np.argsort(-(u[20:] @ u[i]), kind="stable")[:4]}
+    for block in (1000, 9):
+        assert {(r.q, r.id) for r in blocks.nearest_of(q, m, 6, 4, block=block).collect()} == want
+    g = v.withColumn("group", F.col("id") % 3)
+    got = {r.group: np.frombuffer(r.v, np.float32) for r in blocks.means(g, 6).collect()}
+    assert all(np.allclose(got[k], (c := u[k::3].mean(0)) / np.linalg.norm(c), atol=1e-5) for k in range(3))
+
+
+def test_answers_are_folded_in_order(spark, rows):
+    g = spark.createDataFrame([(i, i) for i in range(1, 9)], "id long, group long")
+    said = [(1, 2, "same", 1), (2, 3, "same", 2), (1, 3, "different", 3), (4, 5, "same", 1), (5, 6, "same", 1), (6, 7, "same", 2), (4, 7, "different", 1), (8, 99, "same", 1)]
+    a = spark.createDataFrame(said, "a long, b long, kind string, at int")
+    assert rows(people.folded(g, a)) == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 4), (7, 7), (8, 8)}
+    assert rows(people.folded(g, a.limit(0))) == {(i, i) for i in range(1, 9)}
+
+
+def test_borders_pass_over_what_must_stay_apart(spark, rows):
+    x = np.array([[1.0, 0], [0.99, 0.14], [0, 1], [0.1, 0.995], [0.7, 0.72]], np.float32)
+    v = blocks.pack(spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "id long, embedding array<float>"), 2)
+    core = spark.createDataFrame([(0, 10), (1, 10), (2, 20), (3, 20)], "id long, group long")
+    border = v.where("id = 4")
+    assert rows(people.attached(border, core, v, 2, votes=2)) == {(4, 20)}
+    cannot = lambda *p: spark.createDataFrame(list(p), "a long, b long")
+    assert rows(people.attached(border, core, v, 2, cannot((2, 4)), votes=2)) == {(4, 10)}
+    assert rows(people.attached(border, core, v, 2, cannot((2, 4), (4, 0)), votes=2)) == set()
+
+
+def test_persons_are_rebuilt(spark):
+    """Three people, one of them split by tier, answers that join and keep apart, and names given by hand."""
+    rng = np.random.default_rng(7)
+    c = np.linalg.qr(rng.standard_normal((16, 16)))[0][:4]
+    faces = []
+    for k in range(40):
+        p = k % 4
+        v = c[p] + 0.06 * rng.standard_normal(16)
+        tier = "HIGH" if k < 28 else ("borderline" if k < 36 else "low_quality")
+        faces.append((k + 1, tier, 0, {1: "Ann", 5: "Ann", 9: "Ann", 2: "Bo"}.get(k + 1), [float(z) for z in v]))
+    faces += [(100, "HIGH", 0, None, None), (101, "HIGH", 1, None, faces[0][4]), (102, "BORDERLINE", 0, "Zoe", [float(z) for z in rng.standard_normal(16)])]
+    df = spark.createDataFrame(faces + faces[:3], "id long, quality_tier string, not_person long, manual_person string, embedding array<float>")
+    t = lambda d: dt.datetime(2024, 1, d)
+    links = spark.createDataFrame([(3, 4, "same", t(1)), (1, 3, "different", t(1)), (4, 3, "Same ", t(2))], "face_a long, face_b long, kind string, created_at timestamp")
+    got = {r.face_id: (r.person_id, r.name) for r in people.persons(df, links, 16).collect()}
+    assert {got[i] for i in range(1, 37) if i % 4 == 1} == {(1, "Ann")}
+    assert got[2] == (2, "Bo") and got[6][0] == 6  # one shared face carries no name
+    assert {got[i][0] for i in range(1, 37) if i % 4 in (3, 0)} == {3}
+    assert not {37, 38, 39, 40, 100, 101} & got.keys() and got[102] == (102, "Zoe")
+    assert people.persons(df.limit(0), links, 16).count() == 0
 
 
 def test_absorb_in_order_is_stable():
