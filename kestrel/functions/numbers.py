@@ -114,6 +114,46 @@ def resolve_date(candidates: dict[str, Column], priority: list[str]) -> Column:
     return F.coalesce(*[F.when(candidates[s].isNotNull(), F.struct(candidates[s]["at"].alias("at"), F.lit(s).alias("source"), candidates[s]["confidence"].alias("confidence"))) for s in priority if s in candidates])
 
 
+def date_candidates(takeout: Column, match: Column, exif: Column, filename: Column, mtime: Column, zone: str | None = None) -> dict[str, Column]:
+    """What each source says of a file's date, ``struct<at, confidence>`` or NULL (P10): the sidecar's epoch, surer the better the
+    sidecar was matched; the metadata's and the file name's own; the time of the file."""
+    clock = lambda e, c: F.when(e.isNotNull(), F.struct(wall_clock(e, zone).alias("at"), c.alias("confidence")))
+    said = lambda c: F.when(c.isNotNull(), F.struct(F.date_format(c["at"], "yyyy-MM-dd'T'HH:mm:ss").alias("at"), c["confidence"].alias("confidence")))
+    sure = F.least(F.lit(0.97), 0.6 + match * 0.37)
+    return {"takeout_json": clock(F.when(takeout != 0, takeout), sure), "exif": said(exif), "filename": said(filename), "mtime": clock(mtime, F.lit(0.2))}
+
+
+def gps(sidecar: Column, exif: Column) -> Column:
+    """``struct<lat, lon, alt, source>``: a place that the sidecar gives goes before that of the metadata (P5)."""
+    one = lambda c, alt, source: F.when(c.isNotNull() & c["lat"].isNotNull(), F.struct(c["lat"].alias("lat"), c["lon"].alias("lon"), alt.alias("alt"), F.lit(source).alias("source")))
+    return F.coalesce(one(sidecar, F.lit(None).cast("double"), "sidecar"), one(exif, exif["alt"], "exif"))
+
+
+def number(text: Column) -> Column:
+    """``struct<whole bigint, part double>`` of what a tag says: ``whole`` if it is integral, else ``part``; both NULL if it is no
+    finite number (P25)."""
+    v = text.try_cast("double")
+    v = F.when(~F.isnan(v) & (F.abs(v) < 9e18), v)
+    return F.struct(F.when(v == F.floor(v), v.cast("long")).alias("whole"), F.when(v != F.floor(v), v).alias("part"))
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Whole percent of a job, 0 without a total."""
+    return F.when(total > 0, F.least(F.lit(100), F.floor(100 * done / total))).otherwise(0)
+
+
+def wanted_key(parts: Column) -> Column:
+    """A set of readers as one text, sorted."""
+    return F.array_join(F.sort_array(F.array_distinct(parts)), "+")
+
+
+def iou_or_zero(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Shared area over joint area; boxes without an area share nothing."""
+    shared = overlap(a, b)
+    joint = a["w"] * a["h"] + b["w"] * b["h"] - shared
+    return F.when((a["w"] > 0) & (a["h"] > 0) & (b["w"] > 0) & (b["h"] > 0) & (joint > 0), shared / joint).otherwise(0.0)
+
+
 def manual_date(text: Column) -> Column:
     """A date given by hand: YYYY, YYYY-MM or YYYY-MM-DD as it stands, else NULL; days go to 31 in any month."""
     month, day = F.substring(text, 6, 2).try_cast("int"), F.substring(text, 9, 2).try_cast("int")

@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 #: Words that only English has in short queries.
-ENGLISH = set(
-    "the this that these those is are was were with without beside besides near by at of and or from to in on under over between inside outside during".split()
-)
+ENGLISH = {
+    "the", "this", "that", "these", "those", "is", "are", "was", "were", "with", "without", "beside", "besides", "near", "by", "at", "of",
+    "and", "or", "from", "to", "in", "on", "under", "over", "between", "inside", "outside", "during",
+}
 _NAME = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 
 
@@ -105,7 +106,7 @@ class MentionFinder:
             yield m.person, m.start, m.end, m.exact
 
 
-#: Features with the stages, detectors and readers that they switch on; the first three are always there.
+#: Features with the stages, detectors and readers that they switch on; the first three are always there.
 FEATURES = {
     "catalogue": {"stages": ["scan"], "required": True}, "dates": {"stages": ["enrich"], "required": True}, "duplicates": {"stages": ["dedup"], "required": True},
     "places": {"stages": ["places"]}, "people": {"stages": ["detect"], "detector": "faces"}, "pets": {"stages": ["detect"], "detector": "animals"},

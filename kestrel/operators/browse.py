@@ -49,6 +49,42 @@ def media(
     return m
 
 
+def with_people(files: DataFrame, faces: DataFrame, tags: DataFrame, persons: list[int], key: str = "id") -> DataFrame:
+    """Files that show every one of ``persons``, by a good face or tagged by hand (F4): ``faces(file_id, person_id)``,
+    ``tags(entity_id, file_id)``. No persons: all files."""
+    if not persons:
+        return files
+    both = faces.select(F.col("file_id").alias(key), "person_id").unionByName(tags.select(F.col("file_id").alias(key), F.col("entity_id").alias("person_id")))
+    seen = both.where(F.col("person_id").isin(persons)).groupBy(key).agg(F.countDistinct("person_id").alias("n")).where(F.col("n") == len(set(persons)))
+    return files.join(seen.select(key), key, "left_semi")
+
+
+def neighbours(files: DataFrame) -> DataFrame:
+    """``(id, folder, folder_count)``: how many other visible files stand directly in each file's folder."""
+    f = not_hidden(files).select("id", "root_id", dirname(F.col("rel_path")).alias("folder"))
+    n = f.groupBy("root_id", "folder").agg(F.count("*").alias("n"))
+    return f.join(n, ["root_id", "folder"]).select("id", "folder", (F.col("n") - 1).alias("folder_count"))
+
+
+def folder_page(files: DataFrame, root: int, folder: str) -> DataFrame:
+    """The visible files directly in one folder (F14), as a range of paths, which the scan's statistics can prune."""
+    f = not_hidden(files).where(F.col("root_id") == root)
+    if folder:
+        prefix = folder + "/"
+        f = f.where((F.col("rel_path") >= prefix) & (F.col("rel_path") < prefix[:-1] + "0"))
+    return f.where(F.instr(F.substring("rel_path", len(folder) + 2 if folder else 1, 1 << 20), "/") == 0)
+
+
+def people_options(persons: DataFrame, faces: DataFrame, animals: DataFrame, files: DataFrame) -> DataFrame:
+    """``(option, id, value)``: named people with a visible face, by name without case, and whether there are any people or
+    animals to filter by (A11, J5, O6)."""
+    shown = not_hidden(files).select(F.col("id").alias("file_id"))
+    seen = faces.join(shown, "file_id", "left_semi")
+    named = persons.where("trim(name) <> ''").join(seen.select(F.col("person_id").alias("id")), "id", "left_semi").select(F.lit("person").alias("option"), "id", F.col("name").alias("value"))
+    any_ = lambda t, what: t.join(shown, "file_id", "left_semi").agg((F.count("*") > 0).cast("string").alias("value")).select(F.lit(what).alias("option"), F.lit(None).cast("long").alias("id"), "value")
+    return named.unionByName(any_(faces, "any_people")).unionByName(any_(animals, "any_animals")).orderBy("option", F.lower("value"), "id")
+
+
 SORTS = {
     "newest": lambda: (F.desc_nulls_last("best_datetime"), F.asc("id")),
     "oldest": lambda: (F.asc_nulls_last("best_datetime"), F.asc("id")),

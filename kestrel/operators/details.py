@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kestrel.functions.paths import basename, dirname
 from kestrel.operators.browse import records
-from kestrel.operators.entities import best_per
+from kestrel.operators.entities import best_per, visible_places
 
 
 def coverage_flags(files: DataFrame, **tables: DataFrame) -> DataFrame:
@@ -118,6 +119,49 @@ def centre(vectors: DataFrame, most: int = 4096) -> list[float]:
     return [r["m"] for r in v.groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()]
 
 
+def item_places(members: DataFrame, places: DataFrame, least: int = 3) -> DataFrame:
+    """``(file_id, place_id, name)``: the place of each file; places that are not shown give none."""
+    shown = visible_places(places, least).select(F.col("id").alias("place_id"), "name")
+    return members.select("file_id", "place_id").join(shown, "place_id").groupBy("file_id").agg(F.min(F.struct("place_id", "name")).alias("p")).select("file_id", "p.place_id", "p.name")
+
+
+def nonhuman_review(detections: DataFrame, files: DataFrame, limit: int = 120, offset: int = 0) -> DataFrame:
+    """A page of faces that may be none, the surest first, with their file."""
+    f = files.where("present = 1 AND hidden = 0").select(F.col("id").alias("file_id"), "rel_path")
+    return detections.join(f, "file_id").orderBy(F.desc_nulls_last("confidence"), "id").offset(offset).limit(limit)
+
+
+def item_tags(tags: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(file_id, entity_id, name)`` of manual tags; the stored name stands in where the entity has gone."""
+    e = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("now"))
+    return tags.select("file_id", "entity_id", "name").distinct().join(e, "entity_id", "left").select("file_id", "entity_id", F.coalesce("now", "name").alias("name"))
+
+
+def item_duplicates(members: DataFrame, files: DataFrame, file_id: int) -> DataFrame:
+    """The duplicate group of one file: its members with names and how each matches the canonical, which comes first.
+    ``members`` as from ``dups.membership``."""
+    group = members.where(F.col("id") == file_id).select("group_id")
+    m = members.join(F.broadcast(group), "group_id", "left_semi").join(files.select("id", "rel_path", "media_type"), "id")
+    return m.select("id", "group_id", "match_type", "media_type", basename(F.col("rel_path")).alias("name"), dirname(F.col("rel_path")).alias("folder")).orderBy(F.col("match_type") != "canonical", "id")
+
+
+def semantic_page(scored: DataFrame, media: DataFrame, least: float, relative: float, sort: str = "relevance", limit: int = 120, offset: int = 0) -> DataFrame:
+    """A page of a description search end to end (V3, O3, O8): of ``media(id, best_datetime, ...)`` already filtered, what clears
+    both cuts of ``scored(vec_id, score)``, by relevance, newest or oldest (undated last), with the ``total`` of all pages.
+
+    The cuts are taken after the filters; ties of relevance go by id.
+    """
+    from kestrel.operators.search import cut_relevance
+
+    kept = cut_relevance(scored.join(media.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), least, relative)
+    order = {
+        "relevance": (F.desc("score"), F.asc("id")), "newest": (F.desc_nulls_last("best_datetime"), F.asc("id")), "oldest": (F.asc_nulls_last("best_datetime"), F.asc("id")),
+    }[sort]
+    rows = media.join(kept.withColumnRenamed("vec_id", "id"), "id")
+    total = kept.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(min(limit, 500)).crossJoin(F.broadcast(total)).withColumn("score", F.round("score", 4))
+
+
 def ranked_hits(hits: DataFrame, files: DataFrame, dates: DataFrame, sort: str = "relevance") -> DataFrame:
     """Word hits of visible files with their dates, by relevance, newest or oldest."""
     d = dates.groupBy("file_id").agg(F.min("best_datetime").alias("dt"))

@@ -58,6 +58,59 @@ def gallery(detections: DataFrame) -> DataFrame:
     return detections.where("species IS NULL OR species <> 'teddy bear'").orderBy(F.desc("det_score"), "id")
 
 
+def entity_listing(entities: DataFrame, children: DataFrame, files: DataFrame, tags: DataFrame, key: str) -> DataFrame:
+    """``(id, name, photos, children)``: entities that visible children have, named ones first, then the most children, then id
+    (A15, A16, O4). ``photos`` counts the files of the children and, once each, visible files that are only tagged by hand.
+
+    ``entities(id, name)``, ``children(key, file_id)``, ``tags(entity_id, file_id)``.
+    """
+    shown = files.where("present = 1 AND hidden = 0").select(F.col("id").alias("file_id"))
+    c = children.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "file_id")
+    found = c.join(shown, "file_id").groupBy("id", "file_id").agg(F.count("*").alias("n")).groupBy("id").agg(F.count("*").alias("photos"), F.sum("n").alias("children"))
+    hand = tags.select(F.col("entity_id").alias("id"), "file_id").distinct().join(shown, "file_id", "left_semi").join(c.distinct(), ["id", "file_id"], "left_anti").groupBy("id").agg(F.count("*").alias("tagged"))
+    out = entities.join(found, "id").join(hand, "id", "left").select("id", "name", (F.col("photos") + F.coalesce("tagged", F.lit(0))).alias("photos"), "children")
+    return out.orderBy(named_first(F.col("name")), F.desc("children"), "id")
+
+
+def pet_summary(files: DataFrame, scans: DataFrame, detections: DataFrame, nonhuman: DataFrame, model: str, videos: bool = False) -> DataFrame:
+    """One row: images, scanned and unscanned ones, detections but toys, pets, faces that are none (A16). ``scans(file_id,
+    source_sha256, model_source)`` count at the present bytes and model only."""
+    f = files.where("present = 1 AND hidden = 0")
+    ids = f.select(F.col("id").alias("file_id"))
+    total = f.where(F.col("media_type").isin(["image", "video"] if videos else ["image"])).agg(F.count("*").alias("images"))
+    s = scans.where(F.col("model_source").eqNullSafe(F.lit(model))).alias("s").join(f.select("id", "sha256").alias("f"), F.expr("s.file_id = f.id AND s.source_sha256 <=> f.sha256")).agg(F.count("*").alias("scanned"))
+    d = detections.join(ids, "file_id").agg(F.count_if(F.col("species") != "teddy bear").alias("detections"), F.countDistinct("pet_id").alias("pets"))
+    n = nonhuman.join(ids, "file_id").agg(F.count("*").alias("nonhuman"))
+    one = total.crossJoin(s).crossJoin(d).crossJoin(n)  # one row each
+    return one.select("images", "scanned", F.greatest(F.lit(0), F.col("images") - F.col("scanned")).alias("unscanned"), "detections", "pets", "nonhuman")
+
+
+def merged_photos(groups: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """``(merge_id, photos)``: different files of the children that each merge names in ``groups(merge_id, ids)``."""
+    c = groups.select("merge_id", F.explode("ids").alias("id")).join(children.select("id", "file_id"), "id")
+    return groups.select("merge_id").join(c.groupBy("merge_id").agg(F.countDistinct("file_id").alias("photos")), "merge_id", "left").withColumn("photos", F.coalesce("photos", F.lit(0)))
+
+
+def linked_groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``(group_a, group_b, kind, answers)``: answers about faces as answers about their groups, by join (J20); ends without a
+    group are left out. ``members(id, group_id)``."""
+    m = members.select("id", "group_id")
+    j = links.join(m.select(F.col("id").alias("face_a"), F.col("group_id").alias("x")), "face_a").join(m.select(F.col("id").alias("face_b"), F.col("group_id").alias("y")), "face_b")
+    return j.groupBy(F.least("x", "y").alias("group_a"), F.greatest("x", "y").alias("group_b"), F.lower(F.trim("kind")).alias("kind")).agg(F.count("*").alias("answers"))
+
+
+def link_ends(links: DataFrame) -> DataFrame:
+    """Every record that an answer speaks of, once."""
+    return links.select(F.col("face_a").alias("id")).union(links.select("face_b")).where("id IS NOT NULL").distinct()
+
+
+def map_buckets(places: DataFrame, scale: float, bucket: float = 54.0) -> DataFrame:
+    """``(bx, by, places, members, lat, lon)``: markers of one map view, places of one screen bucket together (N23). ``scale`` is
+    pixels per degree; halves round up, as on a screen."""
+    at = lambda c: F.floor(F.col(c) * scale / bucket + 0.5).cast("long")
+    return places.groupBy(at("lon").alias("bx"), at("lat").alias("by")).agg(F.count("*").alias("places"), F.sum("member_count").alias("members"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+
+
 def visible_places(places: DataFrame, least: int = 3) -> DataFrame:
     """Places with enough members, a name or a pin (F13), named ones first, then by members."""
     p = places.where((F.col("member_count") >= least) | (F.trim("name") != "") | (F.col("pinned") == 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -160,6 +161,50 @@ def bm25(passages: DataFrame, query: str) -> DataFrame:
     return hits.select("id", "file_id", "ordinal", (-sum(parts[1:], parts[0])).alias("score"))
 
 
+def postings(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The word index as two tables to be kept: ``(term, id, tf)`` and ``(id, file_id, ordinal, len)`` (X2). One scan of the text;
+    a row for each passage and term."""
+    t = passages.select("id", "file_id", "ordinal", terms(F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf")), t.select("id", "file_id", "ordinal", F.size("t").alias("len"))
+
+
+def bm25_index(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
+    """``bm25`` over kept ``postings``: reads the query's terms only (an index written by term is pruned to them)."""
+    asked = query_terms(query)
+    if not asked:
+        return lengths.select("id", "file_id", "ordinal", F.lit(0.0).alias("score")).where("false")
+    plain = lambda w: "".join(_BARE[_MARKS.index(ch)] if ch in _MARKS else ch for ch in w)
+    is_ = [F.col("term").startswith(plain(w)) if p else F.col("term") == plain(w) for w, p in asked]
+    hit = index.where(reduce(lambda a, b: a | b, is_))
+    per = hit.groupBy("id").agg(*[F.sum(F.when(c, F.col("tf")).otherwise(0)).alias(f"f{k}") for k, c in enumerate(is_)])
+    df = per.agg(*[F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(asked))])
+    total = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    hits = per.where(" AND ".join(f"f{k} > 0" for k in range(len(asked)))).join(lengths, "id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(total))
+    score = [F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5))) * F.col(f"f{k}") * (K1 + 1) / (F.col(f"f{k}") + K1 * (1 - B + B * F.col("len") / F.col("mean"))) for k in range(len(asked))]
+    return hits.select("id", "file_id", "ordinal", (-reduce(lambda a, b: a + b, score)).alias("score"))
+
+
+def snippets(hits: DataFrame, passages: DataFrame, query: str, marks: tuple[str, str] = ("\x02", "\x03")) -> DataFrame:
+    """``hits`` with the ``snippet`` of their passage."""
+
+    @F.pandas_udf("string")
+    def cut_out(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: snippet(t or "", query, marks=marks))
+
+    return hits.join(passages.select("id", "text"), "id").withColumn("snippet", cut_out("text")).drop("text")
+
+
+def text_page(passages: DataFrame, files: DataFrame, dates: DataFrame, query: str, sort: str = "relevance", limit: int = 120, offset: int = 0) -> DataFrame:
+    """A page of a text search end to end: the best passage of each visible file with its snippet, and the ``total`` of files
+    (X5, J18, O2)."""
+    from kestrel.operators.details import ranked_hits
+
+    best = best_passages(bm25(passages, query))
+    rows = ranked_hits(best, files, dates, sort)
+    total = best.join(files.where("present = 1 AND hidden = 0").select(F.col("id").alias("file_id")), "file_id", "left_semi").agg(F.countDistinct("file_id").alias("total"))
+    return snippets(rows.offset(offset).limit(min(limit, 500)), passages, query).crossJoin(F.broadcast(total))
+
+
 def best_passages(ranked: DataFrame) -> DataFrame:
     """The best passage of each file: score, then place in the file."""
     w = Window.partitionBy("file_id").orderBy("score", "ordinal")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kestrel.functions.numbers import haversine
 from kestrel.operators.entities import merged_centre
 
+#: What a "person" may be instead.
 HIDE_KINDS = {"statue", "drawing", "doll", "screen", "animal", "other"}
 
 
@@ -110,6 +112,50 @@ def unmerge_place(places: DataFrame, members: DataFrame, undo: DataFrame, lost:
     return back.unionByName(again, allowMissingColumns=True), m
 
 
+def unmerge_linked(links: DataFrame, log: DataFrame, merge_id: int, at: str) -> tuple[DataFrame, DataFrame]:
+    """A merge of persons or pets taken back (M9): the answer that joined them goes, "different" takes its place, the log entry is
+    spent. Children move when the clusters are next rebuilt. An unknown merge changes nothing.
+
+    ``log(id, link_a, link_b, ...)``.
+    """
+    m = log.where(F.col("id") == merge_id).select(F.least("link_a", "link_b").alias("a"), F.greatest("link_a", "link_b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").limit(1)
+    kept = links.join(F.broadcast(m), (F.least("face_a", "face_b") == F.col("a")) & (F.greatest("face_a", "face_b") == F.col("b")), "left_anti")
+    apart = m.select(F.col("a").alias("face_a"), F.col("b").alias("face_b"), F.lit("different").alias("kind"), F.lit(at).cast("timestamp").alias("created_at"))
+    return kept.unionByName(apart, allowMissingColumns=True), log.where(F.col("id") != merge_id)
+
+
+def restore_faces(faces: DataFrame, detections: DataFrame, verdicts: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """Reviewed candidates (M14): "human" ones become faces of nobody and are marked with the new face; "confirmed" ones are marked.
+    Candidates without a vector, or already restored, stay as they are. New ids follow the largest, in order of the candidates.
+
+    ``detections(id, file_id, box..., det_score, embedding, review_status, restored_face_id)``, ``verdicts(id, verdict)``.
+    """
+    v = verdicts.where("verdict IN ('human', 'confirmed')").groupBy("id").agg(F.max("verdict").alias("verdict"))
+    d = detections.join(v, "id", "left")
+    back = d.where("verdict = 'human' AND embedding IS NOT NULL AND restored_face_id IS NULL")
+    top = faces.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    rank = back.select(F.col("id").alias("i")).withColumn("k", F.row_number().over(Window.orderBy("i")))  # a page of reviews
+    new = rank.crossJoin(F.broadcast(top)).select(F.col("i").alias("id"), (F.col("top") + F.col("k")).alias("face"))
+    added = back.join(new, "id").select(F.col("face").alias("id"), *[c for c in faces.columns if c != "id" and c in back.columns], F.lit(at).cast("timestamp").alias("_at"))
+    added = added.withColumn("created_at", F.col("_at")).drop("_at") if "created_at" in faces.columns else added.drop("_at")
+    marked = d.join(new, "id", "left").select(*[
+        F.when(F.col("face").isNotNull(), F.lit("human")).when(F.col("verdict") == "confirmed", F.lit("confirmed")).otherwise(F.col(c)).alias(c) if c == "review_status"
+        else F.coalesce("face", c).alias(c) if c == "restored_face_id" else F.col(c) for c in detections.columns
+    ])
+    return faces.unionByName(added, allowMissingColumns=True), marked
+
+
+def refresh_pets(pets: DataFrame, detections: DataFrame) -> DataFrame:
+    """``pets`` with the species, cover and number that their detections give now (R11): the majority species (of equal ones that
+    of the best score), the best scored detection, the count. Pets without detections have none. ``detections(id, pet_id,
+    species, det_score)``."""
+    score = F.coalesce("det_score", F.lit(-1.0))
+    g = detections.where("pet_id IS NOT NULL").groupBy("pet_id", "species").agg(F.count("*").alias("n"), F.max(F.struct(score.alias("s"), (-F.col("id")).alias("i"))).alias("b"))
+    one = g.groupBy(F.col("pet_id").alias("id")).agg(F.max_by("species", F.struct("n", "b")).alias("_species"), (-F.max("b")["i"]).alias("_cover"), F.sum("n").alias("_n"))
+    j = pets.join(one, "id", "left")
+    return j.select(*[F.col({"species": "_species", "cover_detection_id": "_cover"}[c]).alias(c) if c in ("species", "cover_detection_id") else F.coalesce("_n", F.lit(0)).alias(c) if c == "detection_count" else F.col(c) for c in pets.columns])
+
+
 def merge_preview(members: DataFrame, centre: tuple[float, float], most_m: float = 20_000.0) -> DataFrame:
     """``(span_m, wide)``: the farthest member from the merged centre, and whether that is too far."""
     d = haversine(F.col("lat"), F.col("lon"), F.lit(centre[0]), F.lit(centre[1]))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kestrel.session import cut
+
 #: Stages and what each waits for; text versions and indexers of stored results make them stale when they change.
 STAGES = {"scan": [], "enrich": ["scan"], "dedup": ["scan", "enrich"], "places": ["dedup"], "detect": ["dedup"], "semantic": ["dedup"], "text": ["dedup"]}
 #: Tables whose rows describe a file's bytes and are dropped when those change.
@@ -53,7 +55,7 @@ def rescan(files: DataFrame, walk: DataFrame, started: str) -> DataFrame:
         else F.when(F.col("seen"), F.lit(started)).otherwise(F.col(c)).alias(c) if c == "last_seen"
         else F.when(F.col("seen"), 1).otherwise(0).cast("long").alias(c) if c == "present" else F.col(c) for c in files.columns
     ])
-    new = w.join(files.select("root_id", "rel_path"), ["root_id", "rel_path"], "left_anti").orderBy("root_id", "rel_path")
+    new = cut(w.join(files.select("root_id", "rel_path"), ["root_id", "rel_path"], "left_anti").orderBy("root_id", "rel_path"))  # fixed, since its partitions are numbered twice
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     ranked = new.withColumn("part", F.spark_partition_id()).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("root_id", "rel_path")))
     sizes = ranked.groupBy("part").agg(F.count("*").alias("n"))
@@ -94,6 +96,40 @@ def undetected(files: DataFrame, scanned: DataFrame) -> DataFrame:
     return f.join(s, (f["id"] == s["id"]) & f["sha256"].eqNullSafe(s["sha256"]), "left_anti")
 
 
+#: Media types whose vectors are owed, and what the count of them takes.
+SEMANTIC_TYPES, SEMANTIC_EXTENSIONS = ["image", "video", "audio", "document"], ["mp4", "mov", "mp3", "wav", "pdf"]
+
+
+def unembedded(files: DataFrame, vectors: DataFrame, version: str, counted: bool = False) -> DataFrame:
+    """Visible files without a vector of their present bytes and this version (F9). The work list takes four media types; what is
+    ``counted`` takes pictures and five extensions instead. ``vectors(file_id, source_sha256, indexer_version)``."""
+    f = files.where("present = 1 AND hidden = 0").where((F.col("media_type") == "image") | F.col("ext").isin(SEMANTIC_EXTENSIONS) if counted else F.col("media_type").isin(SEMANTIC_TYPES))
+    e = vectors.select(F.col("file_id").alias("id"), F.col("source_sha256").alias("_s"), F.coalesce("indexer_version", F.lit("")).alias("_v"), F.lit(True).alias("_had"))
+    j = f.join(e, "id", "left")
+    return j.where(F.col("_had").isNull() | ~F.col("_s").eqNullSafe(F.col("sha256")) | (F.col("_v") != version)).drop("_s", "_v", "_had")
+
+
+def semantic_summary(files: DataFrame, vectors: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """(one row of total, indexed, skipped, errors, pending; indexed files by media type) of the vector index."""
+    f = files.where("present = 1 AND hidden = 0")
+    now = vectors.where(F.coalesce("indexer_version", F.lit("")) == version).select(F.col("file_id").alias("id"), F.col("source_sha256").alias("sha256"), "status")
+    e = f.join(now, ["id", "sha256"])
+    n = lambda s: F.count_if(F.col("status") == s)
+    c = e.agg(n("indexed").alias("indexed"), n("skipped").alias("skipped"), n("error").alias("errors"), F.count("status").alias("completed"))
+    total = f.where(F.col("media_type").isin(SEMANTIC_TYPES)).agg(F.count("*").alias("total"))
+    one = total.crossJoin(c).select("total", "indexed", "skipped", "errors", F.greatest(F.lit(0), F.col("total") - F.col("completed")).alias("pending"))  # one row each
+    return one, e.where("status = 'indexed'").groupBy("media_type").agg(F.count("*").alias("files"))
+
+
+def backlog_counts(**owed: DataFrame) -> DataFrame:
+    """``(stage, pending)``: how many rows each stage owes (T3); give each stage its backlog."""
+    parts = [d.agg(F.lit(stage).alias("stage"), F.count("*").alias("pending")) for stage, d in owed.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def clean_skip(error: Column) -> Column:
     """Whether an error says that there was nothing to do."""
     return error.rlike("^(unsupported|media exceeds|no text layer)")

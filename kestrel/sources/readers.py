@@ -95,63 +95,56 @@ def _local(e) -> str:
     return e.tag.rsplit("}", 1)[-1]
 
 
-def _paragraphs(xml: bytes, para: set[str], run: set[str]) -> list[str]:
-    out = []
-    for p in ElementTree.fromstring(xml).iter():
-        if _local(p) in para:
-            text = "".join(e.text or "" if _local(e) in run else "\t" if _local(e) == "tab" else "" for e in p.iter())
+#: Parts of each kind of office file in reading order: pattern of the part's name, whether each is a page of its own, the
+#: elements that end a line, those whose text is shown, the element of a cell.
+PARTS = {
+    "docx": [(r"word/document\.xml", False, {"p"}, {"t"}, None), (r"word/(?:header|footer)\d*\.xml", False, {"p"}, {"t"}, None)],
+    "pptx": [(r"ppt/slides/slide(\d+)\.xml", True, {"p"}, {"t"}, None)],
+    "xlsx": [(r"xl/worksheets/sheet(\d+)\.xml", False, {"row"}, {"v", "t"}, "c")],
+}
+
+
+def part_lines(data: bytes, ends: set[str], shown: set[str], cell: str | None = None, strings: list[str] = ()) -> list[str]:
+    """Lines of one XML part, read as a stream: shown text gathers until its cell or line ends. Cells of type ``s`` name a
+    shared string; blank cells and lines are left out."""
+    lines, row, piece = [], [], []
+    for _, e in ElementTree.iterparse(io.BytesIO(data)):
+        tag = _local(e)
+        if tag in shown:
+            piece.append(e.text or "")
+        elif tag == "tab":
+            piece.append("\t")
+        elif tag == cell or tag in ends:
+            text, piece = "".join(piece), []
+            if tag == cell and e.get("t") == "s" and text.isdigit() and int(text) < len(strings):
+                text = strings[int(text)]
             if text.strip():
-                out.append(text)
+                row.append(text)
+            if tag in ends and row:
+                lines.append("\t".join(row))
+                row = []
+    return lines
+
+
+def office_blocks(z: zipfile.ZipFile, ext: str) -> list[tuple[int | None, str]]:
+    """Blocks of a zipped office file: the body, then headers and footers (S18); a page for each slide (S19); the rows of each
+    sheet (S20); or, of an open document, its styled runs, where there are none its bare paragraphs (S21)."""
+    names, out = z.namelist(), []
+    if ext not in PARTS:
+        data = z.read("content.xml")
+        lines = part_lines(data, {"p"}, {"span"}) or [t for e in ElementTree.fromstring(data).iter() if _local(e) == "p" and (t := (e.text or "").strip())]
+        return [(None, "\n".join(lines))] if lines else []
+    strings: list[str] = []
+    if "xl/sharedStrings.xml" in names:
+        strings = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+    for shape, paged, ends, shown, cell in PARTS[ext]:
+        own = [(int(m[1]) if m.groups() else 0, n) for n in names if (m := re.fullmatch(shape, n))]
+        for k, (_, n) in enumerate(sorted(own), 1):
+            if lines := part_lines(z.read(n), ends, shown, cell, strings):
+                out.append((k if paged else None, "\n".join(lines)))
     return out
 
 
-def _number(name: str) -> int:
-    m = re.search(r"(\d+)", name.rsplit("/", 1)[-1])
-    return int(m.group(1)) if m else 0
-
-
-def docx_blocks(z: zipfile.ZipFile) -> list[tuple[int | None, str]]:
-    """Body, then headers and footers in order."""
-    names = ["word/document.xml", *sorted(n for n in z.namelist() if re.fullmatch(r"word/(header|footer)\d*\.xml", n))]
-    return [(None, "\n".join(t)) for n in names if n in z.namelist() and (t := _paragraphs(z.read(n), {"p"}, {"t"}))]
-
-
-def pptx_blocks(z: zipfile.ZipFile) -> list[tuple[int | None, str]]:
-    """A block for each slide, by number."""
-    names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_number)
-    return [(k, "\n".join(t)) for k, n in enumerate(names, 1) if (t := _paragraphs(z.read(n), {"p"}, {"t"}))]
-
-
-def xlsx_blocks(z: zipfile.ZipFile) -> list[tuple[int | None, str]]:
-    """Cells of each sheet, rows on lines, cells by tabs, shared strings looked up."""
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(si) == "si"]
-    out = []
-    for n in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number):
-        rows = []
-        for row in (e for e in ElementTree.fromstring(z.read(n)).iter() if _local(e) == "row"):
-            cells = []
-            for c in (e for e in row if _local(e) == "c"):
-                text = "".join(e.text or "" for e in c.iter() if _local(e) in ("v", "t"))
-                if c.get("t") == "s" and text.isdigit() and int(text) < len(shared):
-                    text = shared[int(text)]
-                if text.strip():
-                    cells.append(text)
-            if cells:
-                rows.append("\t".join(cells))
-        if rows:
-            out.append((None, "\n".join(rows)))
-    return out
-
-
-def odf_blocks(z: zipfile.ZipFile) -> list[tuple[int | None, str]]:
-    """Paragraphs and headings of an open document."""
-    parts = ["".join(p.itertext()) for p in ElementTree.fromstring(z.read("content.xml")).iter() if _local(p) in ("p", "h")]
-    text = "\n".join(t for t in parts if t.strip())
-    return [(None, text)] if text else []
-
-
 def read_document(raw: bytes | None, ext: str | None, most: int = 50_000_000) -> tuple[list[tuple[int | None, str]], str | None]:
     """(blocks, error) of one file by its extension."""
     ext = (ext or "").lower()
@@ -166,7 +159,7 @@ def read_document(raw: bytes | None, ext: str | None, most: int = 50_000_000) ->
     try:
         if ext in OFFICE:
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                blocks = {"docx": docx_blocks, "pptx": pptx_blocks, "xlsx": xlsx_blocks}.get(ext, odf_blocks)(z)
+                blocks = office_blocks(z, ext)
         else:
             text = decode(raw)
             text = markup_text(text) if ext in MARKUP else notebook_text(text) if ext in NOTEBOOK else text

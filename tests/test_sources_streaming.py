@@ -31,7 +31,8 @@ def test_documents():
     assert read(DOCX, "docx")[0] == [(None, "Hello there"), (None, "Foot")]
     assert read(PPTX, "pptx")[0] == [(1, "two"), (2, "ten")]
     assert read(XLSX, "xlsx")[0] == [(None, "name\t4")]
-    assert read(ODT, "ODT")[0] == [(None, "One two")]
+    assert read(ODT, "ODT")[0] == [(None, "two")]  # styled runs; bare paragraphs only where there are none
+    assert read(zipped(content_xml='<o xmlns:t="urn:t"><t:p>One</t:p><t:p> two </t:p></o>'), "ods")[0] == [(None, "One\ntwo")]
     assert read("é".encode("utf-16"), "txt")[0] == [(None, "é")] and read("é".encode("cp1252"), "txt")[0] == [(None, "é")]
     assert read(b"<html><head><title>x</title></head><body> A <script>b</script><p>C</p></body></html>", "html")[0] == [(None, "A\nC")]
     assert read(json.dumps({"cells": [{"source": ["a", "b"]}, {"source": "c", "outputs": ["no"]}]}).encode(), "ipynb")[0] == [(None, "ab\n\nc")]
