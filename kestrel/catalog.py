@@ -602,3 +602,6 @@ def relevance_sweep(spark, d):
 def enrich_progress(spark, d):
     f = browse.visible(_files(spark, d, "id", "present"))
     return details.progress(f, snapshots.undated(f, _dates(spark, d)))
+
+
+from kestrel import catalog_library, catalog_rules  # noqa: E402, F401  (add their queries)
