@@ -316,7 +316,14 @@ def faces_in_animals(spark, d):
     return a.join(p, F.expr("a.file_id = p.file_id")).select(F.col("a.id").alias("animal_id"), F.col("p.id").alias("face_id"), F.round(iou(box("a"), box("p")), 6).alias("iou")).where("iou > 0")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY file_id, species ORDER BY coalesce(det_score, -1) DESC, id) AS r FROM (SELECT DISTINCT ON (id) id, file_id, species, box_x, box_y, box_w, box_h, det_score FROM animal_detections
+  WHERE box_x IS NOT NULL AND box_y IS NOT NULL AND box_w IS NOT NULL AND box_h IS NOT NULL)),
+o AS (SELECT a.id, list(b.id) AS near FROM x a JOIN x b ON a.file_id IS NOT DISTINCT FROM b.file_id AND a.species IS NOT DISTINCT FROM b.species AND a.id <> b.id,
+      LATERAL (SELECT (greatest(least(a.box_x + a.box_w, b.box_x + b.box_w) - greatest(a.box_x, b.box_x), 0) * greatest(least(a.box_y + a.box_h, b.box_y + b.box_h) - greatest(a.box_y, b.box_y), 0))::double AS shared)
+      WHERE a.box_w * a.box_h + b.box_w * b.box_h - shared > 0 AND shared / (a.box_w * a.box_h + b.box_w * b.box_h - shared) > 0.5 GROUP BY 1),
+s AS (SELECT file_id, species, 1 AS k, [id] AS kept FROM x WHERE r = 1 UNION ALL
+      SELECT s.file_id, s.species, k + 1, CASE WHEN list_has_any(kept, coalesce(o.near, [])) THEN kept ELSE list_append(kept, x.id) END FROM s JOIN x ON x.file_id IS NOT DISTINCT FROM s.file_id AND x.species IS NOT DISTINCT FROM s.species AND x.r = s.k + 1 LEFT JOIN o ON o.id = x.id)
+SELECT unnest(kept) AS id FROM (SELECT kept FROM s QUALIFY row_number() OVER (PARTITION BY file_id, species ORDER BY k DESC) = 1)""")
 def nms(spark, d):
     return clusters.suppressed(table(spark, d, "animal_detections", "id", "file_id", "species", "box_x", "box_y", "box_w", "box_h", "det_score"))
 

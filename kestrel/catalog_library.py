@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrel.catalog import _D, _F, _HASH, _NEAR, _POINTS, _U, _candidates, _dates, _files, _points, _query_vector, _rec, query
 from kestrel.operators import browse, clusters, details, dups, entities, matching, search
+from kestrel.operators.spatial import containing_region
 from kestrel.plans import edits, snapshots
 from kestrel.session import table
 
@@ -250,6 +251,16 @@ def merge_span(spark, d):
     return edits.merge_preview(_points(spark, d), (40.0, -3.0)).withColumn("span_m", F.round("span_m", 2))
 
 
+@query(f"""WITH {_POINTS}, r AS (SELECT i AS region_id, (i // 36) * 10 - 90 AS s, (i % 36) * 10 - 180 AS w FROM range(648) t(i))
+SELECT id, region_id FROM p JOIN r ON CASE WHEN region_id % 2 = 1 THEN lat >= s AND lat < s + 10 AND lon >= w AND lon < w + 10 ELSE abs(lat - s - 5) + abs(lon - w - 5) < 5 END""")
+def regions_of_places(spark, d):
+    """Which of 648 squares and diamonds each place lies in (problem 5's second form)."""
+    r = spark.range(648).withColumn("s", F.floor(F.col("id") / 36) * 10 - 90.0).withColumn("w", F.col("id") % 36 * 10 - 180.0)
+    at = lambda y, x: F.struct((F.col("s") + y).cast("double").alias("lat"), (F.col("w") + x).cast("double").alias("lon"))
+    ring = F.when(F.col("id") % 2 == 1, F.array(at(0, 0), at(0, 10), at(10, 10), at(10, 0))).otherwise(F.array(at(0, 5), at(5, 10), at(10, 5), at(5, 0)))
+    return containing_region(_points(spark, d), r.select(F.col("id").alias("region_id"), ring.alias("ring")))
+
+
 # --- Edits (M1-M7, M9, M13, M14, J21, R4, R12) -------------------------------------------------------------------------
 
 

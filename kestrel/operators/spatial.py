@@ -197,15 +197,16 @@ def near_places(places: DataFrame, radius_m: float = 300.0) -> DataFrame:
     return near_pairs(p, radius_m).select(F.col("a").alias("place_a"), F.col("b").alias("place_b"))
 
 
-def containing_region(points: DataFrame, regions: DataFrame, sample: int = SAMPLE, leaf_sample: int = LEAF_SAMPLE) -> DataFrame:
+def containing_region(points: DataFrame, regions: DataFrame, sample: int = SAMPLE, leaf_sample: int = LEAF_SAMPLE, block: int = BLOCK) -> DataFrame:
     """``(id, region_id)`` for every point and each region that holds it.
 
     ``regions(region_id, ring)``: ``ring`` is an array of (lat, lon) structs, closed or not, spanning under 180
     degrees. Points on a south or west edge are inside. Regions with fewer than three corners and rows with NULLs
     give nothing. Regions are replicated to the quadtree leaves (grown from a bounded sample of the points) that
-    their boxes touch, points go to their one leaf, so no pair is found twice.
+    their boxes touch, points go to their one leaf, so no pair is found twice. In a leaf the regions' boxes probe the
+    R-tree of its points, and what they hit is tested against all edges of the ring at once; heavy leaves are split.
     """
-    p = points.where("id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -360 AND 360").select("id", "lat", F.expr("pmod(lon + 180, 360) - 180").alias("lon")).distinct()
+    p = points.where("id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -360 AND 360 AND NOT isnan(lat) AND NOT isnan(lon)").select("id", F.col("lat").cast("double").alias("lat"), F.expr("pmod(cast(lon as double) + 180, 360) - 180").alias("lon")).distinct()
     n = max(1, p.count())
     got = p.select("lat", "lon").where(F.xxhash64("id").bitwiseAND((1 << 30) - 1) < int(min(1.0, sample / n) * (1 << 30))).toPandas()
     leaves = quadtree(got["lat"].to_numpy(dtype=float), got["lon"].to_numpy(dtype=float), leaf_sample, 1e-3)
@@ -217,26 +218,47 @@ def containing_region(points: DataFrame, regions: DataFrame, sample: int = SAMPL
             home = (y >= b[:, 0]) & ((y < b[:, 2]) | (b[:, 2] == 90)) & (x >= b[:, 1]) & (x < b[:, 3])
             yield pd.DataFrame({"leaf": leaf[home], "id": pdf.id.to_numpy()[at[home]], "lat": y[home], "lon": x[home]})
 
+    pts = p.mapInPandas(place, "leaf long, id long, lat double, lon double")
+    heavy = {r["leaf"]: -(-r["n"] // block) for r in pts.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}  # at most one row a leaf
+
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k, ring in zip(pdf.region_id, pdf.ring):
                 c = np.array([(v["lat"], v["lon"]) for v in ring], float)
                 if len(c) >= 3 and np.isfinite(c).all():
-                    _, leaf = _touch(leaves, c[:1, 0] * 0 + c[:, 0].min(), c[:1, 0] * 0 + c[:, 1].min(), c[:1, 0] * 0 + c[:, 0].max(), c[:1, 0] * 0 + c[:, 1].max())
-                    yield pd.DataFrame({"leaf": leaf, "region_id": k, "ys": [c[:, 0].tolist()] * len(leaf), "xs": [c[:, 1].tolist()] * len(leaf)})
-
-    pts = p.mapInPandas(place, "leaf long, id long, lat double, lon double")
-    regs = regions.where("region_id IS NOT NULL AND ring IS NOT NULL").select("region_id", "ring").mapInPandas(spread, "leaf long, region_id long, ys array<double>, xs array<double>")
-
-    @F.pandas_udf("boolean")
-    def inside(lat: pd.Series, lon: pd.Series, ys: pd.Series, xs: pd.Series) -> pd.Series:
-        def one(y, x, py, px):
-            px = np.asarray(px) - np.round((np.mean(px) - x) / 360) * 360
-            py = np.asarray(py)
-            qy, qx = np.roll(py, -1), np.roll(px, -1)
-            cross = (py > y) != (qy > y)
-            return bool(np.sum(cross & (x < (qx - px) * (y - py) / np.where(qy == py, 1, qy - py) + px)) % 2)
-
-        return pd.Series([one(*v) for v in zip(lat, lon, ys, xs)], dtype=bool)
-
-    return pts.join(regs, "leaf").where(inside("lat", "lon", "ys", "xs")).select("id", "region_id")
+                    (s, w), (north, e) = c.min(0), c.max(0)
+                    _, leaf = _touch(leaves, *(np.array([v]) for v in (s, w, north, e)))
+                    leaf = np.repeat(leaf, [heavy.get(x, 1) for x in leaf.tolist()])
+                    part = np.concatenate([np.arange(heavy.get(x, 1)) for x in dict.fromkeys(leaf.tolist())]) if len(leaf) else leaf
+                    yield pd.DataFrame({"leaf": leaf, "part": part, "region_id": k, "ys": [c[:, 0].tolist()] * len(leaf), "xs": [c[:, 1].tolist()] * len(leaf)})
+
+    parts = F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv])[F.col("leaf")] if heavy else F.lit(None).cast("long")
+    pts = pts.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(parts, F.lit(1))))
+    regs = regions.where("region_id IS NOT NULL AND ring IS NOT NULL").select("region_id", "ring").mapInPandas(spread, "leaf long, part long, region_id long, ys array<double>, xs array<double>")
+
+    def inside(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(r):
+            return pd.DataFrame({"id": np.empty(0, np.int64), "region_id": np.empty(0, np.int64)})
+        lat, lon, ids, out = p.lat.to_numpy(), p.lon.to_numpy(), p.id.to_numpy(), []
+        mid = (lon.min() + lon.max()) / 2
+        rings = [(np.asarray(y), np.asarray(x) - np.round((np.mean(x) - mid) / 360) * 360) for y, x in zip(r["ys"], r["xs"])]
+        tree = Tree(lat, lon)
+        for turn in (0.0, 360.0, -360.0):  # the leaf may reach round the earth
+            k, m = tree.probe(*(np.array([f(v) + (turn if c else 0.0) for v in (ring[c] for ring in rings)]) for c, f in ((0, np.min), (1, np.min), (0, np.max), (1, np.max))))
+            order = np.argsort(k, kind="stable")
+            k, m = k[order], m[order]
+            for g in np.unique(k):
+                at = m[np.searchsorted(k, g):np.searchsorted(k, g, "right")]
+                y, x = rings[g][0], rings[g][1] + turn
+                ny, nx = np.roll(y, -1), np.roll(x, -1)
+                flat = np.where(ny == y, 1.0, ny - y)
+                for s in range(0, len(at), 4096):
+                    a = at[s:s + 4096]
+                    cross = (y > lat[a][:, None]) != (ny > lat[a][:, None])
+                    left = lon[a][:, None] < (nx - x) * (lat[a][:, None] - y) / flat + x
+                    hit = ids[a[(cross & left).sum(1) % 2 == 1]]
+                    out.append(np.stack([hit, np.full(len(hit), r.region_id.iloc[g])], 1))
+        got = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"id": got[:, 0], "region_id": got[:, 1]})
+
+    return pts.groupBy("leaf", "part").cogroup(regs.groupBy("leaf", "part")).applyInPandas(inside, "id long, region_id long")

@@ -49,3 +49,9 @@ def test_regions(spark, rows):
     regs = spark.createDataFrame([(1, ring), (2, ring[:2]), (3, None), (4, over)], "region_id long, ring array<struct<lat: double, lon: double>>")
     pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 15.0, 5.0), (3, 0.0, 179.0), (4, 0.0, -179.0), (5, 0.0, -170.0), (6, None, 1.0), (1, 5.0, 5.0)], "id long, lat double, lon double")
     assert rows(sp.containing_region(pts, regs)) == {(1, 1), (3, 4), (4, 4)}
+    assert rows(sp.containing_region(pts, regs, block=1)) == {(1, 1), (3, 4), (4, 4)}
+    many = spark.range(300).selectExpr("id", "(id % 20) * 0.5 + 0.25 AS lat", "CAST(id / 20 AS INT) * 0.6 + 0.3 AS lon")
+    want = {(r.id, 1) for r in many.collect() if 0 <= r.lat < 10 and 0 <= r.lon < 10}
+    for options in ({}, {"leaf_sample": 8}, {"leaf_sample": 8, "block": 3}):
+        assert rows(sp.containing_region(many, regs, **options)) == want
+    assert sp.containing_region(pts.limit(0), regs).count() == 0 and sp.containing_region(pts, regs.limit(0)).count() == 0
