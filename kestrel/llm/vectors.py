@@ -165,7 +165,8 @@ def _matrix(col: pa.ChunkedArray, kind, width: int) -> np.ndarray:
 
 def _fixed(x: np.ndarray) -> np.ndarray:
     """Numbers of -1 to 1 as 24-bit fixed point (1e-7 exact), three bytes each."""
-    return np.ascontiguousarray(np.round(x.astype(np.float64) * 8_388_607).astype("<i4").view(np.uint8).reshape(*x.shape, 4)[:, :, :3]).reshape(len(x), -1)
+    wide = np.round(x.astype(np.float64) * 8_388_607).astype("<i4").view(np.uint8).reshape(*x.shape, 4)
+    return np.ascontiguousarray(wide[:, :, :3]).reshape(len(x), 3 * x.shape[1])
 
 
 def _unfixed(b: np.ndarray, width: int) -> np.ndarray:
