@@ -1,6 +1,6 @@
 """Exact comparison of vectors in pairs of blocks: nearest ones, and what is connected.
 
-Vectors travel as binary float32 of unit length. Each pair of blocks is one task of bounded size, takes each vector once
+Vectors travel as binary float32, as they are, and are brought to unit length in float64 where they are compared. Each pair of blocks is one task of bounded size, takes each vector once
 and gives a few rows a vector, never its pairs. The work is the square of the rows: meant for up to some million vectors.
 """
 
@@ -14,17 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def units(batch: pa.RecordBatch, width: int, at: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the batch, and unit float32 vectors, of the rows whose vector has its width and only finite numbers, not all 0."""
+def usable(batch: pa.RecordBatch, width: int, at: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the batch, and float32 vectors as they are, of the rows whose vector has its width and only finite numbers, not all 0."""
     col = batch.column(at)
     off = col.offsets.to_numpy()
     ok = np.asarray(col.is_valid()) & (np.diff(off) == width)
     values = col.values.to_numpy(zero_copy_only=False)
-    x = values[off[:-1][ok][:, None] + np.arange(width)].astype(np.float64) if ok.any() else np.empty((0, width))
+    x = values[off[:-1][ok][:, None] + np.arange(width)].astype(np.float32) if ok.any() else np.empty((0, width), np.float32)
     good = np.isfinite(x).all(1) & (x != 0).any(1)
-    x = x[good]
-    x = x / np.abs(x).max(1, keepdims=True) if len(x) else x
-    return np.nonzero(ok)[0][good], (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return np.nonzero(ok)[0][good], x[good]
 
 
 def binary(x: np.ndarray) -> pa.Array:
@@ -36,12 +34,18 @@ def matrix(t: pa.Table | pa.RecordBatch, name: str, width: int, kind=np.float32)
     return np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(-1, width)
 
 
+def units(t: pa.Table | pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    """Packed vectors as float64 rows of length one."""
+    x = matrix(t, name, width).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def pack(df: DataFrame, width: int, *keep: str) -> DataFrame:
     """``df(id, embedding)`` as ``(id, keep..., v)`` without unusable vectors; rows of one id are one record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, x = units(batch, width)
+            at, x = usable(batch, width)
             rows = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column(0), *[rows.column(2 + k) for k in range(len(keep))], binary(x)], ["id", *keep, "v"])
 
@@ -71,7 +75,7 @@ def self_nearest(df: DataFrame, width: int, k: int, least: float, block: int = 8
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        ids, own, x = t.column("id").to_numpy(), t.column("own").to_numpy(), matrix(t, "v", width).astype(np.float64)
+        ids, own, x = t.column("id").to_numpy(), t.column("own").to_numpy(), units(t, "v", width)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         out = []
         for a, b in {(i, j), (j, i)}:
@@ -96,7 +100,7 @@ def nearest_of(queries: DataFrame, members: DataFrame, width: int, k: int, least
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        ids, asks, x = t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False).astype(bool), matrix(t, "v", width).astype(np.float64)
+        ids, asks, x = t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False).astype(bool), units(t, "v", width)
         left, right, out = np.nonzero(asks)[0], np.nonzero(~asks)[0], []
         for s in range(0, len(left) if len(right) else 0, 1024):
             rows = left[s:s + 1024]
@@ -133,7 +137,7 @@ def ties(df: DataFrame, width: int, least: float, part: str | None = None, block
     rows = df.join(F.broadcast(sizes), part) if part else df.crossJoin(F.broadcast(sizes))
 
     def run(t: pa.Table) -> pa.Table:
-        ids, own, x = t.column("id").to_numpy(), t.column("own").to_numpy(), matrix(t, "v", width)
+        ids, own, x = t.column("id").to_numpy(), t.column("own").to_numpy(), units(t, "v", width).astype(np.float32)
         a, b = np.nonzero(own == t.column("i")[0].as_py())[0], np.nonzero(own == t.column("j")[0].as_py())[0]
         top = np.arange(len(ids))
         for s in range(0, len(a), 512):
@@ -152,7 +156,7 @@ def means(members: DataFrame, width: int) -> DataFrame:
         for b in batches:
             g, at, n = np.unique(b.column("group").to_numpy(), return_inverse=True, return_counts=True)
             t = np.zeros((len(g), width))
-            np.add.at(t, at, matrix(b, "v", width))
+            np.add.at(t, at, units(b, "v", width))
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n), binary(t)], ["group", "n", "s"])
 
     def add(t: pa.Table) -> pa.Table:

@@ -54,7 +54,7 @@ def pets(detections: DataFrame, width: int, least: float = 0.75, members: int =
         pdf = pdf.sort_values(["group_id", "id"])
         ids, part = pdf.id.to_numpy(), pdf.group_id.to_numpy()
         x = np.frombuffer(b"".join(pdf.v), np.float32).reshape(-1, width).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         cuts, out = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1), len(ids)], []
         for a, b in zip(cuts, cuts[1:]) if len(ids) else ():
             _, first, at, n = np.unique(complete_link(x[a:b], least), return_index=True, return_inverse=True, return_counts=True)
@@ -110,7 +110,8 @@ def collapse(detections: DataFrame, width: int, least: float = 0.75) -> DataFram
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["quality", "id"], ascending=[False, True], na_position="last")
-        x = np.frombuffer(b"".join(pdf.v), np.float32).reshape(-1, width)
+        x = np.frombuffer(b"".join(pdf.v), np.float32).reshape(-1, width).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         alike, open_, keep = x @ x.T >= least, np.ones(len(x), bool), []
         for i in range(len(x)):
             if open_[i]:

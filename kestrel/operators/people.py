@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.clean import label
-from kestrel.operators.blocks import matrix, means, nearest_of, pack, self_nearest, ties
+from kestrel.operators.blocks import means, nearest_of, pack, self_nearest, ties
 from kestrel.operators.graph import components
 from kestrel.operators.matching import matched
 from kestrel.session import cut
