@@ -410,7 +410,7 @@ def _current(spark, d) -> DataFrame:
 @query(f"""WITH {_F}, {_NOW} SELECT status, media_type, CASE WHEN extractor IN ('ocr', 'pdf-ocr') THEN 'ocr' ELSE 'documents' END AS reader, count(*) AS files, coalesce(sum(n_chunks), 0)::bigint AS passages
 FROM t JOIN f ON f.id = t.file_id GROUP BY ALL""")
 def text_status(spark, d):
-    reader = F.when(F.col("extractor").isin("ocr", "pdf-ocr"), "ocr").otherwise("documents")
+    reader = browse.reader_of(F.col("extractor"))
     j = _current(spark, d).join(_files(spark, d, "id", "media_type").withColumnRenamed("id", "file_id"), "file_id")
     return j.groupBy("status", "media_type", reader.alias("reader")).agg(F.count("*").alias("files"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("passages"))
 

@@ -446,6 +446,90 @@ def folder_page(spark, d):
     return browse.folder_page(f, 1, folder or "").select("id")
 
 
+@query(f"""WITH {_F}, {_VEC}, {_PL}, g AS (SELECT id FROM pl WHERE lat IS NOT NULL) SELECT f.id, f.id IN (SELECT id FROM g) AS has_gps FROM f WHERE present = 1 AND hidden = 0 AND EXISTS (SELECT 1 FROM e WHERE e.file_id = f.id AND e.source_sha256 = f.sha256 AND status = 'indexed')""")
+def browse_indexed(spark, d):
+    """Visible files with a vector, and whether they have a position."""
+    f = _files(spark, d, "id", "sha256", "present", "hidden")
+    geo = _rec(spark, d, "place_clusters", "id", "lat").withColumnRenamed("id", "file_id")
+    return browse.only(browse.flagged(browse.not_hidden(f), geo, _index(f)), indexed=True).select("id", "has_gps")
+
+
+@query(f"WITH {_F}, {_PL} SELECT media_type, count(*) AS files, count_if(id IN (SELECT id FROM pl WHERE lat IS NOT NULL)) AS located FROM f WHERE present = 1 GROUP BY 1")
+def located_files(spark, d):
+    return browse.located(_files(spark, d, "id", "media_type", "present"), _rec(spark, d, "place_clusters", "id", "lat").withColumnRenamed("id", "file_id"))
+
+
+@query(f"""WITH {_F}, {_VEC}, r AS (SELECT root_id, max(id) - 50 AS m FROM f WHERE root_id % 2 = 0 GROUP BY 1)
+SELECT f.id, f.id IN (SELECT file_id FROM faces WHERE file_id IS NOT NULL) AS people, f.id IN (SELECT file_id FROM animal_detections WHERE file_id IS NOT NULL) AS pets, f.id IN (SELECT file_id FROM doc_text WHERE file_id IS NOT NULL) AS text,
+f.id IN (SELECT file_id FROM e) AS semantic, coalesce(sha256 IS NOT NULL AND f.id <= m, false) AS duplicates FROM f LEFT JOIN r USING (root_id)""")
+def stages_seen(spark, d):
+    """Which of the five stages have looked at each file."""
+    f = _files(spark, d, "id", "root_id", "sha256")
+    runs = f.where("root_id % 2 = 0").groupBy("root_id").agg((F.max("id") - 50).alias("covered_max_file_id"))
+    t = lambda n: table(spark, d, n, "file_id")
+    return details.coverage_flags(f, people=t("faces"), pets=t("animal_detections"), text=t("doc_text"), semantic=_index(f).select("file_id"), duplicates=snapshots.compared(f, runs))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN l_returnflag = 'R' THEN greatest(120.0, least(300.0, 10.0 * pow(1.5, l_linenumber * 2))) ELSE least(300.0, 10.0 * pow(1.5, l_linenumber * 2)) END, 6)::double AS wait,
+5 * l_linenumber - (l_quantity::int % 7) >= 1.5 AND 5 * l_linenumber - (l_quantity::int % 3) >= 12 AND (l_quantity::int % 7) > (l_quantity::int % 3) AS due FROM lineitem""")
+def scheduler_rules(spark, d):
+    """How long to wait for work (T14) and when to act on a hint."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    return table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").select(
+        "l_orderkey", "l_linenumber", F.round(snapshots.next_wait(n * 2, F.col("l_returnflag") == "R"), 6).alias("wait"), snapshots.hint_due(q % 7, q % 3, n * 5).alias("due"),
+    )
+
+
+@query("""WITH r AS (SELECT DISTINCT root_id, path, zone_name FROM root_zones), m AS (SELECT max(root_id) AS m FROM r), f AS (SELECT min(path) AS p FROM r)
+SELECT root_id, path, CASE WHEN path = p THEN 'Asia/Tokyo' ELSE zone_name END AS zone_name FROM r, f UNION ALL SELECT m + 1, p || '/inner', 'UTC' FROM m, f""")
+def archives_registered(spark, d):
+    """One archive configured anew and one added."""
+    r = table(spark, d, "root_zones").dropDuplicates(["root_id"])
+    first = r.agg(F.min("path")).first()[0]
+    return edits.register(edits.register(r, first, "Asia/Tokyo", "2024-01-01"), first + "/inner/", "UTC", "2024-01-01").select("root_id", "path", "zone_name")
+
+
+@query(f"""WITH {_F}, r AS (SELECT DISTINCT root_id, path FROM root_zones) SELECT CASE WHEN root_id IN (SELECT root_id FROM r) AND root_id % 2 = 0 THEN root_id + 1000 ELSE root_id END AS root_id, count(*) AS files FROM f GROUP BY 1""")
+def roots_reconciled(spark, d):
+    """Files of archives that the registry knows under other ids."""
+    r = table(spark, d, "root_zones", "root_id", "path").distinct()
+    registry = r.select(F.when(F.col("root_id") % 2 == 0, F.col("root_id") + 1000).otherwise(F.col("root_id")).alias("root_id"), "path")
+    return edits.reconcile_roots(_files(spark, d, "id", "root_id"), r, registry).groupBy("root_id").agg(F.count("*").alias("files"))
+
+
+@query(f"""WITH {_MADE}, {_PL}, t AS (SELECT file_id, count(DISTINCT name) AS n FROM tg GROUP BY 1), x AS (SELECT DISTINCT ON (file_id) * FROM doc_text ORDER BY file_id, extracted_at DESC)
+SELECT f.id, d.best_datetime, (SELECT count(*) FROM fa WHERE fa.file_id = f.id) AS faces, coalesce(t.n, 0)::bigint AS tags, CASE WHEN member_count >= 3 OR trim(pl.name) <> '' OR pinned = 1 THEN place_id END AS place_id, x.status
+FROM f LEFT JOIN d ON d.file_id = f.id LEFT JOIN t ON t.file_id = f.id LEFT JOIN mem ON mem.file_id = f.id LEFT JOIN pl ON pl.id = mem.place_id LEFT JOIN x ON x.file_id = f.id""")
+def item_records(spark, d):
+    """Everything about each file in one nested row."""
+    from kestrel.catalog import _current
+
+    box = [f"box_{k}" for k in "xywh"]
+    c = _candidates(spark, d)
+    tags = details.item_tags(_tags(spark, d), _persons(spark).where("false"))
+    places = details.item_places(_members(spark, d), _rec(spark, d, "place_clusters"))
+    r = details.item_record(_files(spark, d, "id"), _dates(spark, d), _faces(spark, d, *box), _animals(spark, d, *box), dups.membership(c, dups.groups(c)), tags, places, _current(spark, d))
+    return r.select("id", "date.best_datetime", F.size("faces").cast("long").alias("faces"), F.size("tags").cast("long").alias("tags"), "place.place_id", "text.status")
+
+
+@query(rf"WITH {_F} SELECT id, substr(c, 1, 2) || '/' || c || '_grid_320.jpg' AS key FROM (SELECT id, {_HASH} AS c FROM f) WHERE regexp_matches(c, '^[0-9a-f]{{64}}$')")
+def thumbnail_keys(spark, d):
+    from kestrel.functions.clean import content_hash
+
+    return _files(spark, d, "id", "sha256").select("id", details.thumbnail_key(content_hash("sha256"), "grid", 320).alias("key")).where("key IS NOT NULL")
+
+
+@query("""SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: least(255.0, greatest(0.0, round(x * 100 + 128))))), 4) AS brightness FROM embeddings""")
+def picture_measures(spark, d):
+    """Brightness and hash of small pictures made of all stored vectors (N4, N13); rows of 8."""
+    from kestrel.functions.images import face_quality, phash
+
+    grey = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round(x * 100 + 128))))
+    t = table(spark, d, "embeddings", "vec_id", "embedding").withColumn("grey", grey)
+    q = t.withColumn("q", face_quality("grey", F.lit(8), F.lit(80.0))).withColumn("p", phash(F.flatten(F.array_repeat("grey", 1))))
+    return q.where("q.quality BETWEEN 0 AND 1").select("vec_id", F.round("q.brightness", 4).alias("brightness"))
+
+
 # --- Searches end to end (V3, V5, O3, X2, X4, X5, J14, R1, R2, R8, J22) --------------------------------------------------------
 
 

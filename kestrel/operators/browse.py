@@ -66,6 +66,34 @@ def neighbours(files: DataFrame) -> DataFrame:
     return f.join(n, ["root_id", "folder"]).select("id", "folder", (F.col("n") - 1).alias("folder_count"))
 
 
+def flagged(files: DataFrame, geo: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``files`` with ``has_gps`` and ``indexed``: whether a position is known, and whether a vector of the present bytes is.
+    ``geo(file_id, lat)``, ``vectors(file_id, source_sha256, status)``."""
+    g = geo.where("lat IS NOT NULL").select(F.col("file_id").alias("id"), F.lit(True).alias("has_gps")).distinct()
+    v = vectors.where("status = 'indexed'").select(F.col("file_id").alias("id"), F.col("source_sha256").alias("sha256"), F.lit(True).alias("indexed")).distinct()
+    out = files.join(g, "id", "left").join(v, ["id", "sha256"], "left")
+    return out.withColumn("has_gps", F.coalesce("has_gps", F.lit(False))).withColumn("indexed", F.coalesce("indexed", F.lit(False)))
+
+
+def only(flags: DataFrame, located: bool | None = None, indexed: bool | None = None) -> DataFrame:
+    """Files by two flags, each wanted, unwanted or not asked."""
+    for name, want in (("has_gps", located), ("indexed", indexed)):
+        if want is not None:
+            flags = flags.where(F.col(name) == want)
+    return flags
+
+
+def reader_of(extractor: Column) -> Column:
+    """Which reader a text came from (P20)."""
+    return F.when(extractor.isin("ocr", "pdf-ocr"), "ocr").otherwise("documents")
+
+
+def located(files: DataFrame, geo: DataFrame) -> DataFrame:
+    """``(media_type, files, located)``: visible files and those with a position."""
+    g = geo.where("lat IS NOT NULL").select(F.col("file_id").alias("id"), F.lit(1).alias("g")).distinct()
+    return visible(files).join(g, "id", "left").groupBy("media_type").agg(F.count("*").alias("files"), F.count("g").alias("located"))
+
+
 def folder_page(files: DataFrame, root: int, folder: str) -> DataFrame:
     """The visible files directly in one folder (F14), as a range of paths, which the scan's statistics can prune."""
     f = not_hidden(files).where(F.col("root_id") == root)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,6 +78,22 @@ def item(files: DataFrame, dates: DataFrame, faces: DataFrame, animals: DataFram
     return out.withColumn("faces", F.coalesce("faces", F.array())).withColumn("animals", F.coalesce("animals", F.array()))
 
 
+def item_record(files: DataFrame, dates: DataFrame, faces: DataFrame, animals: DataFrame, groups: DataFrame, tags: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
+    """``item`` with the names tagged by hand, the place and the reading of each file (X7): ``tags(file_id, name)`` as from
+    ``item_tags``, ``places(file_id, place_id, name)`` as from ``item_places``, ``texts(file_id, status, extractor, n_chunks)``."""
+    t = tags.groupBy(F.col("file_id").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("tags"))
+    p = places.select(F.col("file_id").alias("id"), F.struct("place_id", "name").alias("place"))
+    x = texts.select(F.col("file_id").alias("id"), F.struct("status", "extractor", "n_chunks").alias("text"))
+    out = item(files, dates, faces, animals, groups).join(t, "id", "left").join(p, "id", "left").join(x, "id", "left")
+    return out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def thumbnail_key(sha: Column, kind: str, side: int) -> Column:
+    """Where a cache keeps a picture of some content: by the content and what was made of it, in 256 folders (S32); NULL without
+    content."""
+    return F.when(sha.isNotNull(), F.concat(F.substring(sha, 1, 2), F.lit("/"), sha, F.lit(f"_{kind}_{side}.jpg")))
+
+
 def progress(everything: DataFrame, owed: DataFrame, key: str = "id") -> DataFrame:
     """``(total, done)`` as the complement of what is owed."""
     n = everything.agg(F.countDistinct(key).alias("total"))

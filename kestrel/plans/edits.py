@@ -156,6 +156,36 @@ def refresh_pets(pets: DataFrame, detections: DataFrame) -> DataFrame:
     return j.select(*[F.col({"species": "_species", "cover_detection_id": "_cover"}[c]).alias(c) if c in ("species", "cover_detection_id") else F.coalesce("_n", F.lit(0)).alias(c) if c == "detection_count" else F.col(c) for c in pets.columns])
 
 
+def register(roots: DataFrame, path: str, zone: str | None, at: str) -> DataFrame:
+    """An archive added to the registry, or, if its path is there, configured anew (M15). Ids follow the largest. Folders inside
+    one another are told by ``nested``."""
+    one = roots.sparkSession.createDataFrame([(path.rstrip("/") or "/", zone)], "path string, zone_name string")
+    top = roots.agg(F.coalesce(F.max("root_id"), F.lit(0)).alias("top"))
+    known = roots.join(F.broadcast(one.select("path", F.col("zone_name").alias("_z"), F.lit(True).alias("_hit"))), "path", "left")
+    kept = known.select(*[F.when(F.col("_hit"), F.col("_z")).otherwise(F.col(c)).alias(c) if c == "zone_name" else F.col(c) for c in roots.columns])
+    new = one.join(roots.select("path"), "path", "left_anti").crossJoin(top).select((F.col("top") + 1).alias("root_id"), "path", "zone_name", F.lit(at).cast("timestamp").alias("added_at"))
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
+def unregister(roots: DataFrame, files: DataFrame, root: int) -> tuple[DataFrame, DataFrame]:
+    """The registry and the catalogue without one archive."""
+    return roots.where(F.col("root_id") != root), files.where(F.col("root_id") != root)
+
+
+def nested(roots: DataFrame) -> DataFrame:
+    """``(outer, inner)``: archives of which one lies in the other's folder, which a check reports (M15). The registry is small."""
+    a, b = roots.alias("a"), F.broadcast(roots).alias("b")
+    return a.join(b, F.expr("a.root_id <> b.root_id AND startswith(b.path, concat(a.path, '/'))")).select(F.col("a.root_id").alias("outer"), F.col("b.root_id").alias("inner"))
+
+
+def reconcile_roots(files: DataFrame, held: DataFrame, registry: DataFrame) -> DataFrame:
+    """``files`` with the root ids of the registry (M16): an archive that a catalogue ``held(root_id, path)`` under another id than
+    ``registry(root_id, path)`` gives its path gets that id; paths that the registry lacks keep theirs."""
+    to = held.select(F.col("root_id").alias("_old"), "path").join(registry.select(F.col("root_id").alias("_new"), "path"), "path").where("_old <> _new").groupBy("_old").agg(F.min("_new").alias("_new"))
+    j = files.join(F.broadcast(to), F.col("root_id") == F.col("_old"), "left")
+    return j.select(*[F.coalesce("_new", "root_id").alias(c) if c == "root_id" else F.col(c) for c in files.columns])
+
+
 def merge_preview(members: DataFrame, centre: tuple[float, float], most_m: float = 20_000.0) -> DataFrame:
     """``(span_m, wide)``: the farthest member from the merged centre, and whether that is too far."""
     d = haversine(F.col("lat"), F.col("lon"), F.lit(centre[0]), F.lit(centre[1]))

@@ -130,6 +130,24 @@ def backlog_counts(**owed: DataFrame) -> DataFrame:
     return out
 
 
+def next_wait(idle: Column, failed: Column, first: float = 10.0, most: float = 300.0, growth: float = 1.5, cooldown: float = 120.0) -> Column:
+    """Seconds until the next look for work: ``first`` after a round with work, longer by ``growth`` with each ``idle`` one up to
+    ``most``, and ``cooldown`` at least after a failure (T14)."""
+    wait = F.least(F.lit(most), F.lit(first) * F.pow(F.lit(growth), F.greatest(idle, F.lit(0))))
+    return F.when(failed, F.greatest(wait, F.lit(cooldown))).otherwise(wait)
+
+
+def hint_due(hinted: Column, acted: Column, now: Column, quiet: float = 1.5, floor: float = 12.0) -> Column:
+    """Whether a hint of changed files is acted on: ``quiet`` seconds after the last hint, ``floor`` after the last action."""
+    return F.coalesce((now - hinted >= quiet) & (acted.isNull() | (now - acted >= floor)) & (acted.isNull() | (hinted > acted)), F.lit(False))
+
+
+def compared(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(file_id)`` of the files that the last deduplication of their archive covered: hashed, and not newer than its mark.
+    ``runs(root_id, covered_max_file_id)``."""
+    return files.where("sha256 IS NOT NULL").join(runs.select("root_id", "covered_max_file_id"), "root_id").where("id <= covered_max_file_id").select(F.col("id").alias("file_id"))
+
+
 def clean_skip(error: Column) -> Column:
     """Whether an error says that there was nothing to do."""
     return error.rlike("^(unsupported|media exceeds|no text layer)")

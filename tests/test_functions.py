@@ -83,3 +83,21 @@ def test_resolver(spark, order, want):
     c = lambda t, k: F.struct(F.lit(t).alias("at"), F.lit(k).alias("confidence"))
     got = spark.range(1).select(nb.resolve_date({"exif": c("a", 0.9), "mtime": c("b", 0.2)}, order)["source"]).first()[0]
     assert got == want
+
+
+def test_picture_measures(spark):
+    import numpy as np
+
+    from kestrel.functions import images
+
+    rng = np.random.default_rng(0)
+    x = rng.uniform(30, 200, (32, 32))
+    x = (x + np.roll(x, 1, 0) + np.roll(x, 1, 1)) / 3
+    same, other = images.phash_of(x * 1.1 + 5), images.phash_of(rng.uniform(0, 255, (32, 32)))
+    far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert far(images.phash_of(x), same) <= 2 and far(images.phash_of(x), other) > 10
+    flat, dark = [100.0] * 16, [0.0, 255.0] * 8
+    df = spark.createDataFrame([(1, flat, 4), (2, dark, 4), (3, None, 4), (4, [1.0] * 5, 4), (5, [float(v) for v in x.ravel()], 32)], "id long, grey array<double>, width int")
+    got = {r.id: (r.q, r.p) for r in df.select("id", images.face_quality("grey", "width", F.lit(80.0)).alias("q"), images.phash("grey").alias("p")).collect()}
+    assert got[1][0].quality == 0.0 and got[1][0].brightness == 100.0 and got[2][0].extreme == 1.0 and got[3][0].focus is None and got[4][0].focus is None
+    assert got[5][1] == images.phash_of(x) and got[1][1] is None and 0 < got[5][0].quality < 1
