@@ -75,7 +75,7 @@ def _top(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int, least: float) ->
     return q[r], ids[c], s[r, c]
 
 
-def self_nearest(df: DataFrame, width: int, k: int, least: float, block: int = 8192) -> DataFrame:
+def self_nearest(df: DataFrame, width: int, k: int, least: float, block: int = 16_384) -> DataFrame:
     """``(q, id, score)``: of ``df(id, v)`` the ``k`` nearest of every vector, itself left out, cosine ``least`` or more."""
     n = max(1, -(-df.count() // block))
 
@@ -98,7 +98,7 @@ def self_nearest(df: DataFrame, width: int, k: int, least: float, block: int = 8
     return best_of(got, k)
 
 
-def nearest_of(queries: DataFrame, members: DataFrame, width: int, k: int, least: float = -1.0, block: int = 8192) -> DataFrame:
+def nearest_of(queries: DataFrame, members: DataFrame, width: int, k: int, least: float = -1.0, block: int = 16_384) -> DataFrame:
     """``(q, id, score)``: of ``members(id, v)`` the ``k`` nearest to every one of ``queries(id, v)``."""
     nq, nm = (max(1, -(-d.count() // block)) for d in (queries, members))
     spread = lambda d, own, other, asks: d.select(F.pmod(F.xxhash64("id"), F.lit(own[1])).alias(own[0]), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other[1] - 1).cast("long"))).alias(other[0]), F.lit(asks).alias("asks"), "id", "v")

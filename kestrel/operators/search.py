@@ -95,7 +95,7 @@ def centroid_pairs(cents: DataFrame, by: str, answered: DataFrame | None = None,
     return pairs.join(answered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti") if answered is not None else pairs
 
 
-def exact_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.75, block: int = 8192) -> DataFrame:
+def exact_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.75, block: int = 16_384) -> DataFrame:
     """``(a, b, score)``: the ``k`` nearest of every vector by block products (V4); see ``blocks``."""
     width = vectors.where("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first()
     if width is None:
