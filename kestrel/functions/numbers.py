@@ -1,4 +1,4 @@
-"""Numeric expressions: sphere, boxes, vectors, quality, dates of metadata."""
+"""Numeric expressions: sphere, boxes, vectors, quality, dates of metadata."""
 
 from __future__ import annotations
 

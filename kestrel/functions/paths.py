@@ -1,4 +1,4 @@
-"""Names, extensions and dates of files as column expressions."""
+"""Names, extensions and dates of files as column expressions."""
 
 from __future__ import annotations
 

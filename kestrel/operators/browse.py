@@ -1,4 +1,4 @@
-"""Populations, filters, pages and overview figures of a catalogue."""
+"""Populations, filters, pages and overview figures of a catalogue."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Single records, cards and diagnostics."""
+"""Single records, cards and diagnostics (A22, A30, A31, J18, J19, J22, O2, O3, O7, P23, R1-R3, R6-R9, R13, R17-R20, S32's keys, U1, U2, V3, W4, X7)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Duplicate groups, their canonical copies and figures."""
+"""Duplicate groups, their canonical copies and figures (G1, G2, J3, J4, J10, N4 on text, W6, A7-A9, A25, F17, O5, P21)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Faces, animals, places and their figures."""
+"""Faces, animals, places and their figures."""
 
 from __future__ import annotations
 

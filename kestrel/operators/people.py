@@ -1,4 +1,4 @@
-"""Persons rebuilt from faces: fragments, cores, borders, answers, pins and names as one pipeline."""
+"""Persons rebuilt from faces: fragments, cores, borders, answers, pins and names as one pipeline."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Ranking by vectors and by words, and passages."""
+"""Ranking by vectors and by words, and passages."""
 
 from __future__ import annotations
 

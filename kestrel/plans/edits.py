@@ -1,4 +1,4 @@
-"""Edits of entities as functions from tables to tables."""
+"""Edits of entities as functions from tables to tables."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Snapshots, upserts and what is owed: the incremental side as pure functions of tables."""
+"""Snapshots, upserts and what is owed: the incremental side as pure functions of tables."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""File walks and readers of documents (S1-S4, S10-S27). Readers are plain functions applied in Arrow batches."""
+"""File walks and readers of documents (S1-S4, S10, S11, S13, S15-S22, S26, S27, F18, F21, J9). Readers are plain functions applied in Arrow batches."""
 
 from __future__ import annotations
 

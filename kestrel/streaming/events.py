@@ -1,4 +1,4 @@
-"""Structured Streaming forms: event windows with late data, drained backlogs, places that drift (T3-T7, T4; windows as native extras)."""
+"""Structured Streaming forms: event windows with late data, drained backlogs, places that drift (T4, T5, T7, R21; windows as native extras)."""
 
 from __future__ import annotations
 
