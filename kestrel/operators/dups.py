@@ -29,7 +29,7 @@ def near_hashes(hashes: DataFrame, most: int = 6, bits: int = 64, agree: int | N
     h = hashes.select("hash").where("hash IS NOT NULL").distinct()
     if agree is None:
         n = max(2, h.count())
-        agree = next((a for a in (1, 2, 3) if bits * a / (most + a) >= math.log2(n) - 3), 4)
+        agree = next((a for a in (1, 2, 3) if bits * a / (most + a) >= math.log2(n) - 4), 4)
     bands = most + agree
     ends = [bits * k // bands for k in range(bands + 1)]
     band = lambda c, k: F.shiftrightunsigned(c, ends[k]).bitwiseAND(F.lit((1 << (ends[k + 1] - ends[k])) - 1))
