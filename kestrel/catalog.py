@@ -328,7 +328,16 @@ def nms(spark, d):
     return clusters.suppressed(table(spark, d, "animal_detections", "id", "file_id", "species", "box_x", "box_y", "box_w", "box_h", "det_score"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT id, species, e, row_number() OVER (PARTITION BY species ORDER BY id) AS r FROM (SELECT DISTINCT ON (id) id, species, embedding::double[] AS e FROM animal_detections WHERE species IS NOT NULL AND species <> 'teddy bear'
+  AND len(embedding) = 96 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0)),
+s AS (SELECT b.species, b.r, list(list_cosine_similarity(a.e, b.e) ORDER BY a.r) AS sims FROM x a JOIN x b ON a.species = b.species AND a.r < b.r GROUP BY ALL),
+w AS (SELECT species, 1 AS k, [1] AS g, 1 AS m FROM x WHERE r = 1 UNION ALL
+  SELECT species, k + 1, list_append(g, coalesce(p.q, m + 1)::int), greatest(m, coalesce(p.q, m + 1))::int FROM (
+    SELECT w.species, k, g, m, list_sort(list_filter(list_transform(range(1, m + 1), lambda q: {'ok': list_min(list_filter(list_transform(range(1, k + 1), lambda i: CASE WHEN g[i] = q THEN sims[i] END), lambda v: v IS NOT NULL)) >= 0.75,
+      'mean': round(list_avg(list_filter(list_transform(range(1, k + 1), lambda i: CASE WHEN g[i] = q THEN sims[i] END), lambda v: v IS NOT NULL)), 12), 'q': q}), lambda z: z.ok))[-1] AS p FROM w JOIN s ON s.species = w.species AND s.r = w.k + 1)),
+f AS (SELECT species, unnest(g) AS grp, generate_subscripts(g, 1) AS r FROM (SELECT species, g FROM w QUALIFY row_number() OVER (PARTITION BY species ORDER BY k DESC) = 1)),
+o AS (SELECT id, min(id) OVER (PARTITION BY f.species, grp) AS pet_id, count(*) OVER (PARTITION BY f.species, grp) AS n FROM f JOIN x USING (species, r))
+SELECT id, pet_id FROM o WHERE n >= 2""")
 def pets(spark, d):
     return clusters.pets(table(spark, d, "animal_detections", "id", "species", "embedding"), 96)
 
