@@ -136,7 +136,12 @@ def boxes_found_again(spark, d):
     return matching.found_again(f, new)
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT DISTINCT ON (id) id, file_id, CASE WHEN NOT isnan(det_score) THEN det_score END AS q, embedding::double[] AS e FROM faces),
+x AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY q DESC NULLS LAST, id) AS r FROM a WHERE len(e) = 128 AND len(list_filter(e, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0),
+o AS (SELECT m.id, list(n.id) AS near FROM x m JOIN x n ON m.file_id IS NOT DISTINCT FROM n.file_id AND m.id <> n.id AND list_cosine_similarity(m.e, n.e) >= 0.75 GROUP BY 1),
+s AS (SELECT file_id, 1 AS k, [id] AS kept FROM x WHERE r = 1 UNION ALL
+      SELECT s.file_id, k + 1, CASE WHEN list_has_any(kept, coalesce(o.near, [])) THEN kept ELSE list_append(kept, x.id) END FROM s JOIN x ON x.file_id IS NOT DISTINCT FROM s.file_id AND x.r = s.k + 1 LEFT JOIN o ON o.id = x.id)
+SELECT unnest(kept) AS id FROM (SELECT kept FROM s QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY k DESC) = 1) UNION ALL SELECT id FROM a WHERE id NOT IN (SELECT id FROM x)""")
 def collapsed_views(spark, d):
     """Faces of each file that are no other view of a better one."""
     return clusters.collapse(_rec(spark, d, "faces", "id", "file_id", "det_score", "embedding").withColumnRenamed("det_score", "quality"), 128)
