@@ -5,18 +5,23 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.clean import content_hash
 from kestrel.functions.numbers import hamming
+from kestrel.operators.blocks import tie
 from kestrel.operators.graph import components
 from kestrel.session import cut
 
+#: Most hashes of one band that a task compares with as many others; most edges of which a task keeps a forest.
+BLOCK, EDGES = 32_768, 2_000_000
+
 
 def near_hashes(hashes: DataFrame, most: int = 6, bits: int = 64, agree: int | None = None) -> DataFrame:
     """``(a, b, distance)`` of different 64-bit ``hash`` values at most ``most`` bits apart, a < b.
@@ -45,15 +50,88 @@ def near_hashes(hashes: DataFrame, most: int = 6, bits: int = 64, agree: int | N
     return j.where(F.element_at(table, F.col("choice") + 1) == first).select("a", "b", "distance")
 
 
-def hash_classes(hashes: DataFrame, most: int = 6) -> DataFrame:
+def hash_links(hashes: DataFrame, most: int = 6, bits: int = 64, block: int = BLOCK) -> DataFrame:
+    """``(hash, links, top)`` for the different values of ``hashes(hash)`` that have others at most ``most`` bits away.
+
+    Exact by pigeonhole, as ``near_hashes``, but no pair leaves its task: hashes that share one of ``most + 1`` bands are
+    compared in one array, a pair counts under the first band that it shares. There are rows of a hash for every band at most (and for
+    every two blocks, where more than ``block`` hashes share a band): its ``links`` add up over them, and edges from ``hash``
+    to ``top`` connect what near pairs connect. ``hashes`` is read several times. The work is the square of what shares a band.
+    """
+    bands = most + 1
+    ends = [bits * k // bands for k in range(bands + 1)]
+    masks = [np.uint64((1 << ends[k + 1]) - (1 << ends[k])) for k in range(bands)]
+    keys = F.array(*[F.shiftrightunsigned("hash", ends[k]).bitwiseAND(F.lit((1 << (ends[k + 1] - ends[k])) - 1)) for k in range(bands)])
+    b = hashes.select("hash", F.posexplode(keys).alias("band", "key"))
+    split = b.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("long").alias("parts")).where("parts > 1")
+    b = b.join(F.broadcast(split), ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))  # one row for each ``block`` of hashes and band at most
+    own, other = F.pmod(F.xxhash64("hash"), "parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    b = b.withColumn("own", own).withColumn("other", other).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "hash")
+    bins = max(1, hashes.count() * bands // 8192)
+
+    def near(x: np.ndarray, y: np.ndarray, one: bool, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the near pairs whose first shared band is ``band``; of ``one`` array against itself each pair once."""
+        size, s = max(65_536, len(y)), 0
+        apart, far, good = np.empty(size, np.uint64), np.empty(size, np.uint8), np.empty(size, bool)
+        while s < len(x) and (m := len(y) - (skip := s + 1 if one else 0)) > 0:
+            e = min(len(x), s + size // m)
+            n = (e - s) * m
+            np.bitwise_xor(x[s:e, None], y[None, skip:], out=apart[:n].reshape(e - s, m))
+            np.less_equal(np.bitwise_count(apart[:n], out=far[:n]), most, out=good[:n])
+            at = np.flatnonzero(good[:n])
+            for k in range(band):
+                at = at[(apart[at] & masks[k]) != 0]
+            r = at // m
+            r, c = r + s, at - r * m + skip
+            if one and e - s > 1:
+                once = r < c
+                r, c = r[once], c[once]
+            if len(r):
+                yield r, c
+            s = e
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("band", "key", "i", "j", "own", "hash")])
+        by = [t.column(c).to_numpy() for c in ("band", "key", "i", "j")]
+        own, h = t.column("own").to_numpy(), t.column("hash").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in by], axis=0)]))
+        out = []
+        for s, e in zip(starts, [*starts[1:], len(h)]):
+            x, links, top = h[s:e].view(np.uint64), np.zeros(e - s, np.int64), np.arange(e - s)
+            one = by[2][s] == by[3][s]
+            n = e - s if one else int((own[s:e] == by[2][s]).sum())
+            shift = 0 if one else n
+            for r, c in near(x[:n], x[shift:], one, int(by[0][s])):
+                links += np.bincount(r, minlength=e - s) + np.bincount(c + shift, minlength=e - s)
+                top = tie(top, r, c + shift)
+            found = np.flatnonzero(links)
+            out.append((h[s:e][found], links[found], h[s:e][top[found]]))
+        return pa.table(dict(zip(("hash", "links", "top"), map(np.concatenate, zip(*out)))))
+
+    b = b.withColumn("bin", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(bins))).repartition(max(1, bins // 8), "bin")
+    return b.groupBy("bin").applyInArrow(run, "hash long, links long, top long")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = list(batches)
+    a, b = (np.concatenate([x.column(k).to_numpy() for x in t] or [np.empty(0, np.int64)]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    top = tie(np.arange(len(nodes)), at[:len(a)], at[len(a):])
+    moved = np.flatnonzero(top != np.arange(len(nodes)))
+    for s in range(0, len(moved), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved[s:s + 200_000]]), pa.array(nodes[top[moved[s:s + 200_000]]])], ["a", "b"])
+
+
+def hash_classes(hashes: DataFrame, most: int = 6, block: int = BLOCK) -> DataFrame:
     """``(id, class_id, links)`` of every row of ``hashes(id, hash)``: its class (connected by hashes at most ``most`` bits
     apart; the smallest id), and to how many other hashes it is that near. A row alone is its own class; NULL hashes give none.
     """
-    h = hashes.where("hash IS NOT NULL").select("id", "hash").distinct()
+    h = cut(hashes.where("hash IS NOT NULL").select("id", "hash").distinct())
     head = cut(h.groupBy("hash").agg(F.min("id").alias("first")))
-    pairs = cut(near_hashes(head, most))
-    tied = components(pairs.select("a", "b")).withColumnRenamed("node", "hash")
-    links = pairs.select(F.explode(F.array("a", "b")).alias("hash")).groupBy("hash").agg(F.count("*").alias("links"))
+    near = cut(hash_links(head.select("hash"), most, block=block))
+    edges = near.where("hash <> top").select(F.col("hash").alias("a"), F.col("top").alias("b"))
+    tied = components(edges.coalesce(max(1, -(-edges.count() // EDGES))).mapInArrow(_forest, "a long, b long")).withColumnRenamed("node", "hash")
+    links = near.groupBy("hash").agg(F.sum("links").alias("links"))
     named = head.join(tied, "hash", "left").join(links, "hash", "left").withColumn("group_id", F.coalesce("group_id", "hash"))
     least = named.groupBy("group_id").agg(F.min("first").alias("class_id"))
     return h.join(named.join(least, "group_id").select("hash", "class_id", "links"), "hash").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
@@ -68,20 +146,20 @@ def text_hashes(texts: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def simhash(text: pd.Series) -> pd.Series:
-        out, known, votes = [], {}, np.empty((1024, 64), np.int8)
+        known: dict[str, int] = {}
+        flat, ends = [], [0]
         for t in text:
-            words = re.findall(r"[^ \t\n\r]+", t) if t else []
-            at = []
-            for w in words:
-                if (k := known.get(w)) is None:
-                    k = known[w] = len(known)
-                    if k == len(votes):
-                        votes = np.concatenate([votes, np.empty_like(votes)])
-                    half = np.frombuffer(hashlib.md5(w.encode()).digest()[:8], np.uint8)
-                    votes[k] = np.unpackbits(half).astype(np.int8) * 2 - 1
-                at.append(k)
-            out.append(int(np.packbits(votes[at].sum(0, dtype=np.int64) > 0).view(">i8")[0]) if words else None)
-        return pd.Series(out, dtype="Int64")
+            words = t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if t else ()
+            flat += [known.setdefault(w, len(known)) for w in words if w]
+            ends.append(len(flat))
+        bits = np.unpackbits(np.frombuffer(b"".join([hashlib.md5(w.encode()).digest()[:8] for w in known]), np.uint8)).reshape(-1, 64)
+        at, votes = np.array(flat, np.int64), np.zeros((len(text), 64), np.int64)
+        for v, first, end in zip(votes, ends, ends[1:]):
+            for s in range(first, end, 65_536):
+                v += np.add.reduce(bits[at[s:min(end, s + 65_536)]], 0, dtype=np.uint32)
+        n = np.diff(ends)
+        out = np.packbits(2 * votes > n[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+        return pd.Series(pd.arrays.IntegerArray(out, n == 0))
 
     return texts.select("id", simhash("text").alias("hash"))
 

@@ -103,6 +103,25 @@ def test_near_texts_take_every_document(spark, rows):
     assert all(of[by_hash[a]] == of[by_hash[b]] for a, b, _ in want)
 
 
+@pytest.mark.parametrize("block", [dups.BLOCK, 100])
+def test_hash_classes_keep_no_pairs(spark, rows, monkeypatch, block):
+    """Hashes that are nearly all alike: what is kept follows the hashes, not their pairs, however they are cut into blocks."""
+    rng = np.random.default_rng(1)
+    close = {(1 << int(a)) | (1 << int(b)) for a, b in rng.integers(0, 63, (300, 2))}
+    chain = {(1 << 63) - 1 - ((1 << 5 * k) - 1) for k in range(4, 9)}
+    hs = sorted(close | chain | {-1 - h for h in sorted(close)[:40]} | {int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)})
+    kept, cut = [], dups.cut
+    monkeypatch.setattr(dups, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = dups.hash_classes(spark.createDataFrame([(i, h) for i, h in enumerate(hs)] + [(1000, hs[0]), (0, hs[0]), (1001, None)], "id long, hash long"), **({} if block == dups.BLOCK else {"block": block}))
+    near = [[j for j, y in enumerate(hs) if i != j and ((x ^ y) & (2**64 - 1)).bit_count() <= 6] for i, x in enumerate(hs)]
+    of = list(range(len(hs)))
+    while any(of[i] > of[j] for i, js in enumerate(near) for j in js):
+        of = [min([of[i], *(of[j] for j in js)]) for i, js in enumerate(near)]
+    assert rows(got) == {(i, of[i], len(js)) for i, js in enumerate(near)} | {(1000, of[0], len(near[0]))}
+    most = 7 * len(hs) * (1 if block == dups.BLOCK else 4)
+    assert sum(map(len, near)) / 2 > 4 * most / (1 if block == dups.BLOCK else 4) and all(df.count() <= most for df in kept)
+
+
 def test_visual_groups(spark, rows, files, dates):
     f = browse.records(files).where("id IN (1, 6, 7)")
     h = spark.createDataFrame([(1, 0), (6, 0x3F), (7, -1)], "id long, hash long")
