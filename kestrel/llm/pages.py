@@ -34,8 +34,8 @@ LINKING = {"and", "or", "y", "e", "o", "u", "und", "oder", "et", "ou", "bis", "t
 #: unknown word.
 CHUNKS, CONTEXT, GROUPED, FIT_FILES, GAIN = 64, 16, 256, 400, 6.0
 #: Learning confusions: least letters and count of the frequent word, least pairs of words that show a confusion and least
-#: share of all pairs; most confusions that are kept.
-LETTERS, FREQUENT, PAIRS, SHARE, KEPT = 5, 20, 2, 0.0004, 400
+#: share of all pairs.
+LETTERS, FREQUENT, PAIRS, SHARE = 5, 20, 2, 0.0004
 
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _HYPHEN = "-¬\u00ad‐‑"
@@ -285,7 +285,8 @@ def learn_confusions(types: DataFrame, counts: DataFrame, pairs: int = PAIRS) ->
 
     Every such word of ``types(word)`` is aligned with the frequent words of ``counts(word, n)`` that equal it but for one
     place of one or two letters on either side; the most frequent of them is taken for what was written. Differences that
-    ``pairs`` words or more show, and a ``SHARE`` of all, are confusions; a weight of 1 is a fiftieth of all pairs or more.
+    ``pairs`` words or more show, and a ``SHARE`` of all, are confusions, every one of them (no more than ``1 / SHARE`` can have
+    that share); a weight of 1 is a fiftieth of all pairs or more.
     """
     def holes(df: DataFrame) -> DataFrame:
         w = df.where(F.length("word") >= LETTERS).select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("l")).where("i + l <= length(word) + 1")
@@ -298,23 +299,33 @@ def learn_confusions(types: DataFrame, counts: DataFrame, pairs: int = PAIRS) ->
     one = both.groupBy("word").agg(F.max(F.struct("n", "fixed", "right", "seen")).alias("b"))
     found = cut(one.groupBy("b.right", "b.seen").agg(F.count("*").alias("k")))  # read twice
     total = found.agg(F.sum("k")).first()[0] or 0
-    top = found.where((F.col("k") >= pairs) & (F.col("k") >= SHARE * total)).orderBy(F.desc("k"), "right", "seen").limit(KEPT).collect()
+    top = found.where((F.col("k") >= pairs) & (F.col("k") >= SHARE * total)).orderBy(F.desc("k"), "right", "seen").collect()
     return [(r["right"], r["seen"], min(1.0, 50 * r["k"] / total)) for r in top]
 
 
-def candidates(word: str, confusions: list[tuple[str, str, float]], edits: int = 2) -> dict[str, tuple[int, float]]:
-    """Words that a scan may have misread as ``word``: the number of misread places and their weight."""
+def by_seen(confusions: list[tuple[str, str, float]]) -> dict[str, list[tuple[str, float]]]:
+    """``(right, weight)`` of all confusions by what is seen."""
+    out: dict[str, list[tuple[str, float]]] = defaultdict(list)
+    for right, seen, weight in confusions:
+        out[seen].append((right, weight))
+    return dict(out)
+
+
+def candidates(word: str, confusions: list[tuple[str, str, float]] | dict[str, list[tuple[str, float]]], edits: int = 2) -> dict[str, tuple[int, float]]:
+    """Words that a scan may have misread as ``word``: the number of misread places and their weight. ``confusions`` as learned, or
+    ``by_seen``."""
+    seen = confusions if isinstance(confusions, dict) else by_seen(confusions)
+    lengths = sorted({len(x) for x in seen})
     out, last = {}, {word: 1.0}
     for depth in range(1, edits + 1):
         new: dict[str, float] = {}
         for w, p in last.items():
-            for right, seen, weight in confusions:
-                at = w.find(seen)
-                while at >= 0:
-                    x = w[:at] + right + w[at + len(seen):]
-                    if x != word and x not in out and new.get(x, 0) < p * weight:
-                        new[x] = p * weight
-                    at = w.find(seen, at + 1)
+            for at in range(len(w)):
+                for n in lengths:
+                    for right, weight in seen.get(w[at:at + n], ()) if at + n <= len(w) else ():
+                        x = w[:at] + right + w[at + n:]
+                        if x != word and x not in out and new.get(x, 0) < p * weight:
+                            new[x] = p * weight
         out |= {x: (depth, p) for x, p in new.items()}
         last = new
     return out
@@ -429,7 +440,7 @@ def corrections(types: DataFrame, counts: DataFrame, pairs: int = PAIRS) -> Data
     Words much longer than any clean one have no known candidate.
     """
     known = types.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")).where(F.length("word") > 1).where(~F.col("word").rlike(r"^\d+$"))
-    confusions = learn_confusions(types, counts, pairs)
+    confusions = by_seen(learn_confusions(types, counts, pairs))
     names = Names(name_grams(counts))
     longest = (counts.agg(F.max(F.length("word"))).first()[0] or 0) + 2
 

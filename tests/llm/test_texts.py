@@ -196,6 +196,19 @@ def test_confusions_are_learned(spark):
     assert pages.learn_confusions(counts.select("word").limit(0), counts) == []
 
 
+def test_every_confusion_is_learned(spark):
+    """Many confusions that each have their pairs and share: none of them is left out."""
+    import hashlib
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    code = lambda r, s, k: hashlib.md5(f"{r}{s}{k}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:14]
+    made = [(r, s, code(r, s, k)) for r in letters for s in letters if r != s for k in range(2)]
+    counts = spark.createDataFrame([(c[:7] + r + c[7:], 100) for r, _, c in made], "word string, n long")
+    got = pages.learn_confusions(spark.createDataFrame([(c[:7] + s + c[7:],) for _, s, c in made], "word string"), counts)
+    assert {(r, s) for r, s, _ in got} == {(r, s) for r in letters for s in letters if r != s} and len(got) == 650
+    assert all(pages.candidates("qqq" + s, got)["qqq" + r][0] == 1 for r, s, _ in got)
+
+
 def test_blocks_see_their_neighbours(spark, rows, monkeypatch):
     """A file longer than a block: titles and numbers are known as such by the chunks around."""
     chunks = [(k, 5, k, k, k, f"Orchard Lorounova\nThe light at the lighthouse number {k}.\n{k + 1}") for k in range(40)]
